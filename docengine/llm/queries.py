@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_store
+from . import ann, langid, merkle, mixing, packing, pii, simhash, substring, token_store, warc
+
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -22,8 +23,73 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(spark, read(spark, sf_dir, "pages"))
+    other = F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1)
+    return rows.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", other.cast("long")).alias("refers_to"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs, ~F.coalesce(held_out(), F.lit(True)))
+    rows = langid.predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(read(spark, sf_dir, "documents")).withColumn("edited_paragraphs", F.size("edited_paragraphs"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
+    "op5_langid": op5_langid,
+    "op6_merkle": op6_merkle,
+    "op7_mixing": op7_mixing,
+    "op8_simhash": op8_simhash,
+    "op9_ann": op9_ann,
+    "op10_substring": op10_substring,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

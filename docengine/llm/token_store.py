@@ -35,7 +35,7 @@ SAMPLE_DOCUMENTS = 1024
 SAMPLE_CHARS = 20_000
 
 MANIFEST = "shard int, path string, documents long, tokens long, bytes long"
-TOKENS = "doc_id long, shard int, position long, n_tokens long, start_in_shard long, ids binary"
+TOKENS = "doc_id long, start long, n_tokens long, ids binary"
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -61,11 +61,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, byte
     further columns are ignored. The dictionary is fitted on a bounded sample: the ``SAMPLE_DOCUMENTS``
     documents of smallest id hash among those of at most ``SAMPLE_CHARS`` characters.
     """
+    import pyarrow as pa
+
     spark = docs.sparkSession
     docs = need(docs, "doc_id", "text")
     end = end_id.to_bytes(2, "little")
     sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
-    data = train_dictionary([x + end for x in encoder(tokenizer, byte_level).encode([r.text for r in sample])])
+    data = train_dictionary([x + end for x in encoder(tokenizer, byte_level).encode(pa.array([r.text for r in sample], pa.string()))])
     create_folder(f"{folder}/data")
     store, path = filesystem(f"{folder}/dictionary")
     with store.open_output_stream(path) as f:
@@ -82,12 +84,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, byte
         out, at, total = None, len(MAGIC), 0
         index: dict[str, list] = {"doc_id": [], "offset": [], "size": [], "tokens": []}
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in text_slices(texts):
                 if out is None:
                     out = filesystem(uri)[0].open_output_stream(filesystem(uri)[1])
                     out.write(MAGIC)
-                for doc, raw in zip(ids[a:b], encode(texts[a:b])):
+                for doc, raw in zip(ids[a:b], encode(texts.slice(a, b - a))):
                     out.write(frame := compress(raw + end))
                     n = len(raw) // 2 + 1
                     for k, v in zip(index, (doc, at, len(frame), n)):
@@ -143,26 +145,24 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("position", pa.int64()), ("n_tokens", pa.int64()), ("start_in_shard", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            for r in batch.to_pylist():
-                f = TokenFile(r["path"], dictionary)
-                rows, size, start = [], 0, 0
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                f = TokenFile(path, dictionary)
+                rows, size = [], 0
                 for i, doc in enumerate(f.index["doc_id"]):
                     ids = f.ids(i)
-                    rows.append({"doc_id": doc, "shard": r["shard"], "position": i, "n_tokens": len(ids), "start_in_shard": start, "ids": ids.astype("<u4").tobytes()})
+                    rows.append((doc, start, len(ids), ids.astype("<u4").tobytes()))
                     start, size = start + len(ids), size + 4 * len(ids)
                     if size >= 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
                 f.close()
 
-    files = manifest.count()
-    bases = manifest.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("base"))
-    rows = manifest.select("shard", "path").repartition(max(1, files), "shard").mapInArrow(read, TOKENS)
-    return rows.join(bases.withColumnRenamed("shard", "of"), F.col("shard") == F.col("of")).select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
+    bases = manifest.select("shard", "path", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("base"))
+    return bases.repartition(max(1, manifest.count()), "shard").select("path", "base").mapInArrow(read, TOKENS)
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int, byte_level: bool = True) -> DataFrame:

@@ -20,7 +20,10 @@ def _byte_signs() -> dict[int, str]:
 
 
 BYTE_SIGNS = _byte_signs()
-CACHE_ENTRIES = 2_000_000
+#: Words of letters; below U+0180, and but for U+0130, composing changes nothing and lower case is one letter for each.
+ANY_WORD = r"^\p{L}+$"
+SAFE_WORD = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+$"
+CACHE_ENTRIES = 1_000_000
 
 
 class Encoder:
@@ -47,36 +50,48 @@ class Encoder:
 
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict, pieces: set[str], before: str) -> None:
-        todo, ended = set(), []
-        for p in pieces:
+    def _learn(self, cache: dict, pieces: list[str], before: str) -> None:
+        """Put the ids of distinct new pieces into ``cache``; None where the piece has space at an end by the byte-level rule."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        new = pa.array(pieces, pa.string())
+        plain = SAFE_WORD if not self.byte_level else ANY_WORD
+        word = pc.match_substring_regex(new, plain)
+        # A run of letters, then one mark: two pieces by either rule.
+        ended = pc.and_(pc.match_substring_regex(new, "[.,!]$"), pc.match_substring_regex(stem := pc.utf8_slice_codeunits(new, 0, -1), plain))
+        stems, whole = stem.filter(ended).to_pylist(), new.filter(word).to_pylist()
+        words = list({*whole, *[x for x in stems if x not in cache]})
+        for i in range(0, len(words), 2048):
+            cache.update(zip(words[i : i + 2048], self._words(words[i : i + 2048], before)))
+        marks = self.marks
+        cache.update([(p, cache[x] + marks[p[-1]]) for p, x in zip(new.filter(ended).to_pylist(), stems)])
+        rest = []
+        for p in new.filter(pc.invert(pc.or_(word, ended))).to_pylist():
             if not p or (self.byte_level and (p[0].isspace() or p[-1].isspace())):
                 cache[p] = b"" if not p and not self.byte_level else None
-            elif p[-1] in ".,!" and p[:-1].isalpha():  # a run of letters, then one mark: two pieces by either rule
-                ended.append(p)
-                if p[:-1] not in cache:
-                    todo.add(p[:-1])
             else:
-                todo.add(p)
-        words = [p for p in todo if p.isalpha() and max(p) < "\u0180" and "\u0130" not in p]
-        todo = list(todo.difference(words))
-        for part, ids in [(words, self._words), (todo, self._pieces)]:
-            for i in range(0, len(part), 1024):
-                cache.update(zip(part[i : i + 1024], ids([before + p for p in part[i : i + 1024]])))
-        for p in ended:
-            cache[p] = cache[p[:-1]] + self.marks[p[-1]]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters below U+0180 by the library's model: there, its normalizer is ``lower`` or nothing."""
+                rest.append(p)
+        for i in range(0, len(rest), 1024):
+            cache.update(zip(rest[i : i + 1024], self._pieces([before + p for p in rest[i : i + 1024]])))
+
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters by the library's model: for these its normalizer is ``lower`` or nothing."""
         import numpy as np
 
         tokenize = self.tokenizer.model.tokenize
         if not self.byte_level:
-            return [np.array([t.id for t in tokenize(w.lower().encode().decode("latin-1").translate(BYTE_SIGNS))], dtype="<u2").tobytes() for w in words]
+            signs = "\0".join(words).lower().encode().decode("latin-1").translate(BYTE_SIGNS).split(BYTE_SIGNS[0])
+            ids = [[t.id for t in tokenize(w)] for w in signs]
+            ends = np.cumsum([len(x) for x in ids])
+            data = np.array([i for x in ids for i in x], dtype="<u2").tobytes()
+            cuts = [0, *(2 * ends).tolist()]
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
         if self.separator is None:
-            return self._pieces(words)
+            return self._pieces([before + w for w in words])
         # No token but its own holds the sign of byte 0: words that it separates are merged each by itself.
-        ids = np.array([t.id for t in tokenize("\0".join(words).encode().decode("latin-1").translate(BYTE_SIGNS))], dtype="<u2")
+        text = before + ("\0" + before).join(words)
+        ids = np.array([t.id for t in tokenize(text.encode().decode("latin-1").translate(BYTE_SIGNS))], dtype="<u2")
         cuts = [-1, *np.flatnonzero(ids == self.separator).tolist(), len(ids)]
         data = ids.tobytes()
         return [data[2 * a + 2 : 2 * b] for a, b in zip(cuts, cuts[1:])]
@@ -94,27 +109,45 @@ class Encoder:
             a = b
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: empty) as bytes of little-endian unsigned 16-bit integers."""
+    def _lookup(self, cache: dict, pieces: list[str], before: str) -> list[bytes | None]:
+        if new := [p for p in pieces if p not in cache]:
+            self._learn(cache, list(dict.fromkeys(new)), before)
+        return [cache[p] for p in pieces]
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow string array (null: empty) as bytes of little-endian unsigned 16-bit integers."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return []
         if len(self.first) + len(self.later) > CACHE_ENTRIES:
             self.first.clear()
             self.later.clear()
-        split = [(t or "").split(" ") for t in texts]
-        self._learn(self.first, {x[0] for x in split} - self.first.keys(), "")
-        known, new = self.later.get, set()
-        for x in split:
-            found = list(map(known, x))
-            if None in found:
-                new.update([p for p, ids in zip(x, found) if ids is None])
-        self._learn(self.later, new - self.later.keys(), " " if self.byte_level else "")
-        out = []
-        for text, x in zip(texts, split):
-            parts = list(map(known, x))
-            parts[0] = self.first[x[0]]
-            try:
-                out.append(b"".join(parts))
-            except TypeError:  # space beside space, or at an end: no cut there
-                out.append(self._library([text or ""])[0])
+        texts = pc.fill_null(texts, "")
+        pieces = pc.split_pattern(texts, " ")
+        offsets = pieces.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        distinct = pieces.flatten().dictionary_encode()
+        codes = distinct.indices.to_numpy().copy()
+        found = self._lookup(self.later, distinct.dictionary.to_pylist(), " " if self.byte_level else "")
+        if self.byte_level:  # no space stands before a text's first piece
+            starts = offsets[:-1]
+            firsts = distinct.dictionary.take(distinct.indices.take(starts)).to_pylist()
+            codes[starts] = len(found) + np.arange(len(starts))
+            found += self._lookup(self.first, firsts, "")
+        odd = np.array([x is None for x in found])
+        lengths = np.array([len(x) // 2 if x else 0 for x in found], dtype=np.int64)
+        data = np.frombuffer(b"".join([x for x in found if x]), dtype="<u2")
+        at = np.cumsum(lengths) - lengths
+        sizes = lengths[codes]
+        ends = np.cumsum(sizes)
+        ids = data[np.repeat(at[codes] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
+        cuts = (2 * np.concatenate([[0], ends])[offsets]).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        if odd.any():  # space beside space, or at an end: no cut there
+            for i in np.flatnonzero(np.logical_or.reduceat(odd[codes], offsets[:-1])).tolist():
+                out[i] = self._library([texts[i].as_py()])[0]
         return out
 
 
@@ -128,13 +161,15 @@ def encoder(path: str, byte_level: bool) -> Encoder:
     return _encoders[path, byte_level]
 
 
-def text_slices(texts: list[str | None], most: int = 2 << 20):
-    """Ranges of consecutive texts of about ``most`` characters at most: bounds a worker's memory."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def text_slices(texts, most: int = 8 << 20):
+    """Ranges of consecutive texts (an Arrow string array) of about ``most`` bytes at most: bounds a worker's memory."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield begin, end
+        begin = end

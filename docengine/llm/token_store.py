@@ -58,15 +58,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, byte
     """Encode ``docs`` (doc_id, text) and write token files into ``folder``; returns the manifest, written there too.
 
     Null and empty texts hold just ``end_id``; an empty table writes no file; repeated rows are kept;
-    further columns are ignored. The dictionary is fitted on a bounded sample: the ``SAMPLE_DOCUMENTS``
-    documents of smallest id hash among those of at most ``SAMPLE_CHARS`` characters.
+    further columns are ignored. The dictionary is fitted on a bounded sample: about
+    ``SAMPLE_DOCUMENTS`` documents of smallest id hash, without those of over ``SAMPLE_CHARS`` characters.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     docs = need(docs, "doc_id", "text")
     end = end_id.to_bytes(2, "little")
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()
+    share = SAMPLE_DOCUMENTS / max(SAMPLE_DOCUMENTS, docs.count())
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = chosen.where(F.char_length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCUMENTS).collect()
     data = train_dictionary([x + end for x in encoder(tokenizer, byte_level).encode(pa.array([r.text for r in sample], pa.string()))])
     create_folder(f"{folder}/data")
     store, path = filesystem(f"{folder}/dictionary")

@@ -23,7 +23,8 @@ BYTE_SIGNS = _byte_signs()
 #: Words of letters; below U+0180, and but for U+0130, composing changes nothing and lower case is one letter for each.
 ANY_WORD = r"^\p{L}+$"
 SAFE_WORD = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+$"
-CACHE_ENTRIES = 1_000_000
+#: Pieces in a generation of a worker's cache.
+CACHE_ENTRIES = 500_000
 
 
 class Encoder:
@@ -42,8 +43,9 @@ class Encoder:
         self.separator = None
         if not any(BYTE_SIGNS[0] in k for k in self.tokenizer.get_vocab() if len(k) > 1):
             self.separator = self.tokenizer.token_to_id(BYTE_SIGNS[0])
-        self.first: dict[str, bytes | None] = {}  # pieces without a space before them
-        self.later: dict[str, bytes | None] = self.first if not byte_level else {}
+        #: A cache by what stands before its pieces (a space or nothing), in two generations.
+        self.known: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
+        self.old: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -109,9 +111,16 @@ class Encoder:
             a = b
         return out
 
-    def _lookup(self, cache: dict, pieces: list[str], before: str) -> list[bytes | None]:
+    def _lookup(self, pieces: list[str], before: str) -> list[bytes | None]:
+        """Ids of the pieces. When a generation is full, it becomes the old one; what is met again moves on to the new one."""
+        cache, old = self.known[before], self.old[before]
+        if len(cache) > CACHE_ENTRIES:
+            self.old[before] = old = cache
+            self.known[before] = cache = {}
         if new := [p for p in pieces if p not in cache]:
-            self._learn(cache, list(dict.fromkeys(new)), before)
+            cache.update([(p, old[p]) for p in new if p in old])
+            if new := [p for p in new if p not in cache]:
+                self._learn(cache, list(dict.fromkeys(new)), before)
         return [cache[p] for p in pieces]
 
     def encode(self, texts) -> list[bytes]:
@@ -121,21 +130,18 @@ class Encoder:
 
         if not len(texts):
             return []
-        if len(self.first) + len(self.later) > CACHE_ENTRIES:
-            self.first.clear()
-            self.later.clear()
         texts = pc.fill_null(texts, "")
         pieces = pc.split_pattern(texts, " ")
         offsets = pieces.offsets.to_numpy()
         offsets = offsets - offsets[0]
         distinct = pieces.flatten().dictionary_encode()
         codes = distinct.indices.to_numpy().copy()
-        found = self._lookup(self.later, distinct.dictionary.to_pylist(), " " if self.byte_level else "")
+        found = self._lookup(distinct.dictionary.to_pylist(), " " if self.byte_level else "")
         if self.byte_level:  # no space stands before a text's first piece
             starts = offsets[:-1]
             firsts = distinct.dictionary.take(distinct.indices.take(starts)).to_pylist()
             codes[starts] = len(found) + np.arange(len(starts))
-            found += self._lookup(self.first, firsts, "")
+            found += self._lookup(firsts, "")
         odd = np.array([x is None for x in found])
         lengths = np.array([len(x) // 2 if x else 0 for x in found], dtype=np.int64)
         data = np.frombuffer(b"".join([x for x in found if x]), dtype="<u2")

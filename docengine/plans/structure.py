@@ -208,7 +208,7 @@ def html_table_markdown(spark, sf_dir):
     return files.html_tables(rows.select("page_id", html.alias("html"))).select("page_id", "position", F.sha2("markdown", 256).alias("markdown_hash"))
 
 
-register("html_table_markdown", html_table_markdown, """
+register("html_table_markdown", html_table_markdown, r"""
 WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, max(CASE WHEN turn % 3 = 2 THEN 1 ELSE 2 END) OVER (PARTITION BY conv_id) AS width, role,
   CASE WHEN turn % 3 = 2 THEN '' ELSE replace(replace(regexp_replace(replace(replace(replace(text, '&', '+'), '<', '('), '>', ')'), '^\s+|\s+$', '', 'g'), '|', '\|'), chr(10), ' ') END AS cell FROM conversations),
 l AS (SELECT conv_id, n, '| ' || role || CASE WHEN width = 2 THEN ' | ' || cell ELSE '' END || ' |' || CASE WHEN n = 1 THEN chr(10) || CASE WHEN width = 2 THEN '| --- | --- |' ELSE '| --- |' END ELSE '' END AS line FROM r)

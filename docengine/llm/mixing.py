@@ -76,7 +76,7 @@ def schedule(spark: SparkSession, plan: DataFrame, block_words: int = BLOCK_WORD
     """
     total = plan.agg(F.sum("need").alias("x")).first()["x"] or 0
     every = Window.partitionBy()
-    upto = F.sum("target").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(every)
+    upto = F.try_divide(F.sum("target").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), F.sum("target").over(every))
     spans = plan.where("need > 0").withColumn("high", upto).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("n")), F.lit(0.0)))
     last = F.row_number().over(Window.orderBy(F.desc("n"))) == 1
     spans = spans.withColumn("high", F.when(last, F.lit(2.0)).otherwise(F.col("high")))
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) -> Da
     sized = scratch.table(need(docs, "doc_id", "text", "source").select("doc_id", "source", words(F.col("text")).alias("size")), "sized")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal, blocks = F.floor("target").cast("long"), F.ceil(F.col("source_size") / block_words).cast("long")
-    whole = F.floor(F.col("goal") / F.col("source_size")).cast("long")  # rounds through the source before the last
+    whole = F.floor(F.try_divide("goal", "source_size")).cast("long")  # rounds through the source before the last
     plan = plan.withColumn("goal", goal).withColumn("blocks", blocks).withColumn("rounds", F.coalesce(whole, F.lit(0)))
     need_slots = F.col("rounds") * F.col("blocks") + F.ceil((F.col("goal") - F.col("rounds") * F.col("source_size")) / block_words).cast("long")
     plan = scratch.table(plan.withColumn("need", F.coalesce(need_slots, F.lit(0))), "plan")

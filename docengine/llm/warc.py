@@ -182,16 +182,15 @@ def entries(files: DataFrame, scratch: Scratch, range_bytes: int = RANGE_BYTES)
 
     After round k a node's pointer skips 2^k ranges, and all nodes within 2^k ranges of a start are marked.
     """
-    spark = scratch.spark
     nodes = scratch.table(chains(files, range_bytes), "chain0")
     most = files.agg(F.max("bytes").alias("n")).first()["n"] or 0
     reached = nodes.where("entered").select("path", "offset")
-    jumps = nodes.select("path", "offset", "exit")
+    jumps, known = nodes.select("path", "offset", "exit"), nodes.select("path", "offset")
     k = 0
     while (range_bytes << k) < most:
         step = jumps.select("path", "offset", F.col("exit").alias("next"))
         more = reached.join(step, ["path", "offset"]).select("path", F.col("next").alias("offset"))
-        more = more.join(jumps.select("path", "offset"), ["path", "offset"], "left_semi")
+        more = more.join(known, ["path", "offset"], "left_semi")
         reached = scratch.table(reached.union(more).distinct(), f"reached{k + 1}")
         far = jumps.select("path", F.col("offset").alias("exit"), F.col("exit").alias("beyond"))
         jumps = scratch.table(jumps.join(far, ["path", "exit"]).select("path", "offset", F.col("beyond").alias("exit")), f"jumps{k + 1}")

@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and segments, in SQL functions only.
 
 The whole text is cut without loss: sections end with blank lines, paragraphs with line ends, and leaves are
-segments of a paragraph that end with a sentence or after 32 words. A node's hash is the SHA-256 of its children's;
+segments of a paragraph that end with a sentence or after 4 words. A node's hash is the SHA-256 of its children's;
 the fingerprint is the root in hex. So equal texts, and only these, have equal fingerprints, and where roots
 differ, differing sections, paragraphs and leaves locate the edits.
 """
@@ -16,7 +16,7 @@ from ._common import checked_broadcast, need
 #: Fixed values of the format: they cover any text, each match is one node.
 SECTION = r"(?s).+?(?:\n[ \t\r]*(?=\n)(?:\s*\n)?|\z)"
 PARAGRAPH = r"[^\n]*\n|[^\n]+\z"
-LEAF = r"(?:\S++(?<![.!?])[^\S\n]++){0,31}\S++\s*+|\s++"
+LEAF = r"(?:\S++(?<![.!?])[^\S\n]++){0,3}\S++\s*+|\s++"
 
 BUCKET_ROWS = 20_000
 MOST_BUCKETS = 1 << 16

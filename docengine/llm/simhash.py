@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, need
+from ._common import Scratch, checked_broadcast, need
 
 SHINGLE = 4
 RADIUS = 4
@@ -111,21 +111,17 @@ def _probes(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links that join the same components as all pairs of distinct ``fps`` (fp) within the radius."""
-    spark = fps.sparkSession
     probes = _probes(fps)
-    key = ["segment", "value"]
-    sizes = probes.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("exact").alias("m")).where("m > 0 and n > 1")
-    sizes = sizes.select(F.col("segment").alias("s"), F.col("value").alias("v"), "n", "m")
-    live = probes.join(sizes, (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")))
-    # Blocks of a bucket: every probe block meets every table block; nearly all buckets are one block.
-    blocks = F.floor((F.col("n") - 1) / bucket_rows).cast("int") + 1
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    live = live.withColumn("blocks", blocks).withColumn("own", own)
+    hot = probes.groupBy("segment", "value").agg(F.count("*").alias("n"), F.count_if("exact").alias("m")).where(F.col("n") > bucket_rows).where("m > 0")
+    hot = hot.select(F.col("segment").alias("s"), F.col("value").alias("v"), (F.floor((F.col("n") - 1) / bucket_rows) + 1).cast("int").alias("parts"))
+    # Every probe block of a large bucket meets every table block; nearly all buckets are one block, where a table row is its own probe.
+    live = probes.join(checked_broadcast(hot, 32), (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")), "left")
+    live = live.withColumn("blocks", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_probe = F.transform(every, lambda t: F.struct(F.col("own").alias("i"), t.alias("j"), F.lit(False).alias("table")))
     as_table = F.transform(every, lambda t: F.struct(t.alias("i"), F.col("own").alias("j"), F.lit(True).alias("table")))
-    # With one block a table row is its own probe: it goes out once.
-    roles = F.when((F.col("blocks") == 1) & F.col("exact"), F.slice(as_table, 1, 1)).when(F.col("exact"), F.concat(as_probe, as_table)).otherwise(as_probe)
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("exact").alias("table")))
+    roles = F.when(F.col("blocks") == 1, alone).when(F.col("exact"), F.concat(as_probe, as_table)).otherwise(as_probe)
     dealt = live.select("segment", "value", "fp", "blocks", F.explode(roles).alias("r")).select("segment", "value", "r.i", "r.j", "blocks", "r.table", "fp")
     group = ["segment", "value", "i", "j"]
     dealt = dealt.repartition(*group).sortWithinPartitions(*group, "table", "fp")

@@ -181,3 +181,9 @@ q("session_counts", """
   WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS fresh FROM {events}),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
   SELECT user_id, CAST(session AS INT) AS session, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, session""")
+q("document_point_ids", "SELECT label AS document_id, vec_id % 50 AS chunk_id, max(vec_id) AS point_id FROM {embeddings} GROUP BY label, vec_id % 50")
+q("evidence_position_label", """
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN concat('p. ', CAST(l_partkey AS STRING)) WHEN l_linenumber % 3 = 1 AND l_suppkey > 5 THEN concat('lines ', CAST(l_suppkey AS STRING), '-', CAST(l_suppkey + l_linenumber AS STRING)) WHEN l_linenumber % 3 = 1 THEN concat('line ', CAST(l_suppkey AS STRING)) ELSE concat('paragraph ', CAST(l_linenumber AS STRING)) END AS position FROM {lineitem}""")
+q("bounded_diagnostics", """
+  SELECT user_id, array_join(slice(array_sort(collect_list(concat(CASE WHEN event_type IN ('view', 'click', 'error') THEN event_type ELSE '<unknown_field>' END, ':', lpad(CAST(event_id AS STRING), 8, '0')))), 1, 20), ',') AS diagnostics FROM {events} GROUP BY user_id""", """
+  SELECT user_id, string_agg(d, ',' ORDER BY d) AS diagnostics FROM (SELECT user_id, (CASE WHEN event_type IN ('view', 'click', 'error') THEN event_type ELSE '<unknown_field>' END) || ':' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS d, row_number() OVER (PARTITION BY user_id ORDER BY (CASE WHEN event_type IN ('view', 'click', 'error') THEN event_type ELSE '<unknown_field>' END) || ':' || lpad(CAST(event_id AS VARCHAR), 8, '0')) AS n FROM {events}) WHERE n <= 20 GROUP BY user_id""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text
-from ..operators import blocks, chunks, geometry, incremental
+from ..operators import blocks, chunks, geometry, incremental, layout
 from ..sources import files
 from .base import read
 
@@ -215,13 +215,17 @@ l AS (SELECT conv_id, n, '| ' || role || CASE WHEN width = 2 THEN ' | ' || cell
 SELECT conv_id AS page_id, 0::INT AS position, sha256(string_agg(line, chr(10) ORDER BY n)) AS markdown_hash FROM l GROUP BY conv_id""")
 
 
-def layout_blocks(spark, sf_dir):
+def layout_source(spark, sf_dir):
     """Layout JSON made of conversations: one page per conversation, a block per turn."""
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     block = lambda x: F.struct(F.when(x["turn"] % 4 == 0, "title").when(x["turn"] % 4 == 1, "text").when(x["turn"] % 4 == 2, "chart").otherwise("page_number").alias("type"), F.array(F.lit(0.0), x["turn"] * 10.0, F.lit(50.0), x["turn"] * 10.0 + 8).alias("bbox"), F.array(F.struct(F.array(F.struct(x["text"].alias("content"))).alias("spans"))).alias("lines"))
     page = F.struct(F.lit(0).alias("page_idx"), F.array(F.lit(100.0), F.lit(200.0)).alias("page_size"), F.transform("t", block).alias("preproc_blocks"))
     docs = rows.select(F.col("conv_id").alias("doc_id"), F.to_json(F.struct(F.array(page).alias("pdf_info"))).alias("layout"), F.lit(500.0).alias("width"), F.lit(1000.0).alias("height"))
-    out = files.layout_blocks(docs)
+    return files.layout_blocks(docs)
+
+
+def layout_blocks(spark, sf_dir):
+    out = layout_source(spark, sf_dir)
     return out.select("doc_id", "reading_order", "type", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), F.col("bbox.y0").alias("y0"), F.coalesce("warning", F.lit("")).alias("warning"))
 
 
@@ -230,6 +234,32 @@ SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn
   sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text_hash, (turn * 10.0 / 200.0 * 1000.0)::DOUBLE AS y0, CASE WHEN turn % 4 = 2 THEN 'UNMAPPED_BLOCK' ELSE '' END AS warning FROM conversations""")
 
 
+register("layout_nodes", lambda s, d: layout.to_nodes(layout_source(s, d)))
+register("layout_chunks", lambda s, d: layout.to_chunks(layout_source(s, d), "Doc", "1"))
+register("layout_summary", lambda s, d: files.bundle_summary(layout_source(s, d)), """
+SELECT conv_id AS doc_id, 1::BIGINT AS pages, count(*) AS blocks, count_if(turn % 4 = 2)::BIGINT AS warnings, CASE WHEN count_if(turn % 4 = 2) > 0 THEN 'PARTIAL_SUCCESS' ELSE 'SUCCEEDED' END AS status FROM conversations GROUP BY conv_id""")
+
+
+def page_marked_windows(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    body = F.concat(F.lit("cover"), F.array_join(F.transform("t", lambda x: F.concat(F.lit("--- Page "), x["turn"].cast("string"), F.lit(" ---\n"), x["text"])), ""))
+    return layout.marked_pages(rows.select(F.col("conv_id").alias("doc_id"), body.alias("text")))
+
+
+register("page_marked_windows", page_marked_windows)
+
+
+def pdf_preflight(spark, sf_dir):
+    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    files_ = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (k % 11 != 0).alias("is_pdf"), (k % 13 == 0).alias("encrypted"), (k * 37 % 700).cast("int").alias("pages"))
+    return geometry.preflight(files_).select("l_orderkey", "l_linenumber", "error_code")
+
+
+register("pdf_preflight", pdf_preflight, """
+SELECT l_orderkey, l_linenumber, CASE WHEN k % 11 = 0 THEN 'NOT_A_PDF' WHEN k % 13 = 0 THEN 'ENCRYPTED' WHEN k * 37 % 700 = 0 THEN 'NO_PAGES' WHEN k * 37 % 700 > 500 THEN 'TOO_MANY_PAGES' END AS error_code
+FROM (SELECT *, l_orderkey * 7 + l_linenumber AS k FROM lineitem)""")
+
+
 def ir_round_trip(spark, sf_dir):
     """Nodes to JSON and back: nothing is lost."""
     schema = "struct<role:string,text:string,turn:bigint>"

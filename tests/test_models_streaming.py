@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from conftest import SF
+from oracle import SF
 from pyspark.sql import functions as F
 
 from docengine.operators import models

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import oracle
 import pytest
-from conftest import SF
+from oracle import SF
 
 from docengine import catalog
 

@@ -92,4 +92,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words without Unicode rules: space and U+0009 to U+000D part them.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l""",
+    "op7_mixing": f"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) - 1) % 3 + 1]::DOUBLE AS weight, row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) AS n FROM s),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM w),
+v AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+f AS (SELECT level FROM v WHERE level * weight <= cap ORDER BY cap / weight, n LIMIT 1),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM f) * weight, cap)) AS target FROM v),
+o AS (SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS b FROM d)
+SELECT o.doc_id, o.size, t.source_size, t.target, (greatest(0, least(b + size, floor(target)) - b) + greatest(0, least(b + size + source_size, floor(target)) - b - source_size))::BIGINT AS taken
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+    "op10_substring": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+k AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM g),
+m AS (SELECT r, i, count(*) OVER (PARTITION BY h) > 1 AS again FROM k),
+y AS (SELECT x.r, x.i, x.word, max(CASE WHEN m.again THEN 1 ELSE 0 END) OVER (PARTITION BY x.r ORDER BY x.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM x LEFT JOIN m ON x.r = m.r AND x.i = m.i),
+z AS (SELECT r, count_if(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM y GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN z ON d.r = z.r""",
+}

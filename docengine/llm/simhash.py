@@ -17,51 +17,70 @@ from ._common import Scratch, checked_broadcast, need
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Segments as (first bit, bits, ball radius): fixed values for radius 4 by the pigeonhole principle.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+#: Segments as (print, first bit, bits, ball radius): fixed values for radius 4 by the pigeonhole principle.
+SEGMENTS = ((0, 0, 21, 1), (0, 21, 21, 1), (0, 42, 22, 0))
+#: For near copies by similarity: four prints of 64 bits over 5-word shingles, tables of the 12-bit segments themselves (balls of radius 0).
+#: Two texts of Jaccard similarity J differ in a bit with probability arccos(2J / (1 + J)) / pi: 0.15 at 0.8, 0.10 at 0.9. So texts of 0.8 share a
+#: segment with probability 0.95 (0.9: 0.998), and at most 43 of 256 bits tell similarity 0.8 from 0.6 (expected: 39 and 59 bits).
+LONG = {"size": 5, "prints": 4, "segments": tuple((w, 12 * k, 12, 0) for w in range(4) for k in range(5)), "radius": 43}
 BUCKET_ROWS = 8192
 MOST_ROUNDS = 100
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The 64-bit SimHash of the text's word shingles; 0 without words."""
+def fingerprint(text: str | None, size: int = SHINGLE, prints: int = 1) -> list[int]:
+    """The 64-bit SimHashes of the text's word shingles, each by another hash; the first is XXH64's. All 0 without words."""
     import numpy as np
     import xxhash
 
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * prints
     joined = b" ".join(words)
-    if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])[: len(words) - size + 1].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of ``docs`` (doc_id, text); fp is the fingerprint as a signed 64-bit integer."""
-
-    @F.pandas_udf("long")
+    if len(words) <= size:
+        hashes = np.array([h(joined, SEED)], dtype="<u8")
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        starts = np.concatenate([[0], ends[:-1]])[: len(words) - size + 1].tolist()
+        hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], dtype="<u8")
+    out = []
+    for k in range(prints):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+            hashes ^= hashes >> np.uint64(32)
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            part = hashes[i : i + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """(doc_id, p0, p1, ...) of ``docs`` (doc_id, text): its prints as signed 64-bit integers."""
+
+    @F.pandas_udf(", ".join(f"p{k} long" for k in range(prints)))
     def of(texts):
         import numpy as np
         import pandas as pd
 
-        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+        rows = np.array([fingerprint(t, size, prints) for t in texts], dtype=np.uint64).reshape(-1, prints).view(np.int64)
+        return pd.DataFrame(rows, columns=[f"p{k}" for k in range(prints)])
 
-    return need(docs, "doc_id", "text").select("doc_id", of(F.col("text")).alias("fp"))
+    return need(docs, "doc_id", "text").select("doc_id", of(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
-def forest(a, b, radius: int = RADIUS):
-    """Links of a spanning forest of the graph between the distinct fingerprints ``a`` and ``b`` (arrays of uint64)."""
+def distances(a, b):
+    """Differing bits of rows of prints: the last axis holds a text's prints."""
+    import numpy as np
+
+    return sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int16) for k in range(a.shape[-1]))
+
+
+def forest(a, b, prints_a, prints_b, radius: int):
+    """Links of a spanning forest of the graph between two sets of texts: their ids (arrays) and prints."""
     import numpy as np
 
     nodes = np.unique(np.concatenate([a, b]))
@@ -76,7 +95,7 @@ def forest(a, b, radius: int = RADIUS):
         return i
 
     for k in range(0, len(a), 256):
-        near = np.bitwise_count(a[k : k + 256, None] ^ b[None, :]) <= radius
+        near = distances(prints_a[k : k + 256, None], prints_b[None]) <= radius
         rows, cols = np.nonzero(near)
         x, y = ia[rows + k], ib[cols]
         # Only links between parts that aren't joined yet are walked through.
@@ -98,66 +117,75 @@ def forest(a, b, radius: int = RADIUS):
     return links
 
 
-def _probes(fps: DataFrame) -> DataFrame:
-    """Rows (segment, value, fp, exact): each fingerprint under its own segments and under those of their balls."""
-    def around(i: int, first: int, bits: int, radius: int):
-        own = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
-        flips = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << k for k in range(bits)]][: 1 + bits * radius]])
+def _probes(classes: DataFrame, segments) -> DataFrame:
+    """Rows (segment, value, exact, id, prints): each text under its own segments and under those of their balls."""
+
+    def around(i: int, word: int, first: int, bits: int, ball: int):
+        own = F.shiftrightunsigned(f"p{word}", first).bitwiseAND(F.lit((1 << bits) - 1))
+        flips = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << k for k in range(bits)]][: 1 + bits * ball]])
         return F.transform(flips, lambda m: F.struct(F.lit(i).alias("segment"), own.bitwiseXOR(m).alias("value"), (m == 0).alias("exact")))
 
-    parts = [around(i, *segment) for i, segment in enumerate(SEGMENTS)]
-    return fps.select("fp", F.explode(F.concat(*parts)).alias("p")).select("p.segment", "p.value", "p.exact", "fp")
+    parts = [around(i, *segment) for i, segment in enumerate(segments)]
+    return classes.select("*", F.explode(F.concat(*parts)).alias("s")).select("s.segment", "s.value", "s.exact", *classes.columns)
 
 
-def links(fps: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links that join the same components as all pairs of distinct ``fps`` (fp) within the radius."""
-    probes = _probes(fps)
+def links(classes: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS, segments=SEGMENTS, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links that join the same components as all pairs of ``classes`` (id, p0, p1, ...) that meet in a bucket and are within the radius."""
+    prints = [c for c in classes.columns if c != "id"]
+    probes = _probes(classes, segments)
     hot = probes.groupBy("segment", "value").agg(F.count("*").alias("n"), F.count_if("exact").alias("m")).where(F.col("n") > bucket_rows).where("m > 0")
     hot = hot.select(F.col("segment").alias("s"), F.col("value").alias("v"), (F.floor((F.col("n") - 1) / bucket_rows) + 1).cast("int").alias("parts"))
     # Every probe block of a large bucket meets every table block; nearly all buckets are one block, where a table row is its own probe.
     live = probes.join(checked_broadcast(hot, 32), (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")), "left")
-    live = live.withColumn("blocks", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    live = live.withColumn("blocks", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_probe = F.transform(every, lambda t: F.struct(F.col("own").alias("i"), t.alias("j"), F.lit(False).alias("table")))
     as_table = F.transform(every, lambda t: F.struct(t.alias("i"), F.col("own").alias("j"), F.lit(True).alias("table")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("exact").alias("table")))
     roles = F.when(F.col("blocks") == 1, alone).when(F.col("exact"), F.concat(as_probe, as_table)).otherwise(as_probe)
-    dealt = live.select("segment", "value", "fp", "blocks", F.explode(roles).alias("r")).select("segment", "value", "r.i", "r.j", "blocks", "r.table", "fp")
+    dealt = live.select("segment", "value", "blocks", "id", *prints, F.explode(roles).alias("r")).select("segment", "value", "r.i", "r.j", "blocks", "r.table", "id", *prints)
     group = ["segment", "value", "i", "j"]
-    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "table", "fp")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "table", "id")
 
     def find(batches):
         import numpy as np
         import pyarrow as pa
 
         def solve(cols):
-            segment, value, i, j, blocks, table, fp = cols
+            segment, value, i, j, blocks, table, ids = cols[:7]
+            p = np.stack([c.view(np.uint64) for c in cols[7:]], axis=1)
             change = np.flatnonzero((np.diff(segment) != 0) | (np.diff(value) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            begins, ends = np.concatenate([[0], change]), np.concatenate([change, [len(fp)]])
-            fp = fp.view(np.uint64)
+            begins, ends = np.concatenate([[0], change]), np.concatenate([change, [len(ids)]])
             tables = np.concatenate([[0], np.cumsum(table)])
             n_table = tables[ends] - tables[begins]
             size = ends - begins
             out = []
-            small = (n_table > 0) & (size * n_table <= 4096)
+            small = (n_table > 0) & (size > 1) & (size * n_table <= 4096)
             # Small groups together: every row against each table row, which stand last.
-            b, e, t = begins[small], ends[small], n_table[small]
-            if len(b):
-                rows = np.repeat(np.arange(len(b)), (e - b) * t)
-                at = np.arange(len(rows)) - np.repeat(np.cumsum((e - b) * t) - (e - b) * t, (e - b) * t)
-                x, y = fp[b[rows] + at // t[rows]], fp[e[rows] - 1 - at % t[rows]]
-                near = (x != y) & (np.bitwise_count(x ^ y) <= RADIUS)
-                out.append(np.stack([np.minimum(x[near], y[near]), np.maximum(x[near], y[near])], axis=1))
-            for k in np.flatnonzero((n_table > 0) & ~small):
-                part, split = fp[begins[k] : ends[k]], ends[k] - n_table[k]
-                rows = part if blocks[begins[k]] == 1 else fp[begins[k] : split]
-                out.append(np.array(forest(rows, fp[split : ends[k]]), dtype=np.uint64).reshape(-1, 2))
-            both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))], names=["a", "b"])
+            chosen, at = np.flatnonzero(small), 0
+            work = np.cumsum(size[small] * n_table[small])
+            while at < len(chosen):
+                upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 1_000_000)))
+                g = chosen[at:upto]
+                at, b, e, t = upto, begins[g], ends[g], n_table[g]
+                n = (e - b) * t
+                rows = np.repeat(np.arange(len(b)), n)
+                k = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                x, y = b[rows] + k // t[rows], e[rows] - 1 - k % t[rows]
+                near = (ids[x] != ids[y]) & (distances(p[x], p[y]) <= radius)
+                x, y = ids[x[near]], ids[y[near]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            for k in np.flatnonzero((n_table > 0) & (size > 1) & ~small):
+                b, split, e = begins[k], ends[k] - n_table[k], ends[k]
+                stop = e if blocks[b] == 1 else split
+                found = forest(ids[b:stop], ids[split:e], p[b:stop], p[split:e], radius)
+                out.append(np.array(found, dtype=np.int64).reshape(-1, 2))
+            both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         held = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7 + len(prints))]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -199,31 +227,36 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """For each of ``docs`` (doc_id, text): doc_id, fp, component_id (the smallest doc_id that its fingerprint's links reach, itself included).
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, prints: int = 1, segments=SEGMENTS, radius: int = RADIUS) -> DataFrame:
+    """For each of ``docs`` (doc_id, text): doc_id, its prints p0, ..., component_id (the smallest doc_id that its prints' links reach, itself included).
 
-    Null and empty texts, and texts without words, have fingerprint 0 and are linked like any other. Repeated rows are kept. Rows with
+    Null and empty texts, and texts without words, have prints 0 and are linked like any other. Repeated rows are kept. Rows with
     a null doc_id take part, but null is no component's smallest id unless it has no other. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.table(fingerprints(docs), "prints")
-    classes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    labels = components(links(classes.select("fp"), scratch), scratch)
-    known = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    names = [f"p{k}" for k in range(prints)]
+    table = scratch.table(fingerprints(docs, size, prints), "prints")
+    classes = table.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    classes = scratch.table(classes.select("*", (F.col("p0") if prints == 1 else F.monotonically_increasing_id()).alias("id")), "classes")
+    labels = components(links(classes.select("id", *names), scratch, BUCKET_ROWS, segments, radius), scratch)
+    known = classes.join(labels, F.col("id") == F.col("node"), "left").select(*names, "least", F.coalesce("label", "id").alias("label"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = known.select("fp", "label").join(least, "label").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    named = known.select(*[F.col(n).alias(f"_{n}") for n in names], "label").join(least, "label")
+    on = F.col("p0") == F.col("_p0")
+    for n in names[1:]:
+        on = on & (F.col(n) == F.col(f"_{n}"))
+    return table.join(named, on).select("doc_id", *names, "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without all but one document of each component: the row of its smallest doc_id; of rows that repeat this id, one stays.
 
-    All columns stay. Documents whose id is null are compared by text alone and each stay unless another row has the same fingerprint's component.
+    ``how``: parameters of ``near_duplicates``. All columns stay. Documents whose id is null are compared by text alone and each stay unless another row has the same fingerprint's component.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     own = docs.columns
     numbered = scratch.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows")
-    groups = near_duplicates(numbered.select(F.col("row_id").alias("doc_id"), "row.text"))
+    groups = near_duplicates(numbered.select(F.col("row_id").alias("doc_id"), "row.text"), **how)
     ids = scratch.table(groups.select(F.col("doc_id").alias("r"), "component_id"), "groups")
     ranked = ids.join(numbered.select("row_id", F.col("row.doc_id").alias("d")), F.col("r") == F.col("row_id"))
     first = ranked.groupBy("component_id").agg(F.min(F.struct(F.coalesce("d", F.lit((1 << 63) - 1)).alias("d"), F.col("row_id"))).alias("first"))

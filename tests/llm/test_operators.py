@@ -274,7 +274,7 @@ def test_schedule_is_near_its_weights(spark):
 def test_fingerprints_and_components(spark, docs, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     prints = {d: brute.simhash(t) for d, t in pairs()}
-    assert {d: r.fp % (1 << 64) for d, r in got.items()} == prints
+    assert {d: r.p0 % (1 << 64) for d, r in got.items()} == prints
     assert {d: r.component_id for d, r in got.items()} == brute.components(prints)
     assert simhash.near_duplicates(empty).count() == 0
 
@@ -297,7 +297,8 @@ def test_links_join_what_all_pairs_join(spark, bucket_rows):
         prints.append(x)
     items = dict.fromkeys(prints)
     items = {x: x for x in items}
-    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in items], "fp long")
+    signed = [x - (1 << 64) if x >> 63 else x for x in items]
+    frame = spark.createDataFrame([(x, x) for x in signed], "id long, p0 long")
     scratch = Scratch(spark, "t")
     edges = simhash.links(frame, scratch, bucket_rows)
     assert all((a % (1 << 64) ^ b % (1 << 64)).bit_count() <= 4 for a, b in edges.collect())

@@ -41,7 +41,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def bm25_topk(spark, sf_dir):
     queries, docs, _ = tables(spark, sf_dir)
-    return r.top(r.bm25(queries, r.postings(docs)), 40).select("query_id", "doc_id", "score", "rank")
+    return r.top(r.bm25(queries, r.postings(docs).persist()), 40).select("query_id", "doc_id", "score", "rank")
 
 
 def cosine_topk_threshold(spark, sf_dir):

@@ -9,6 +9,7 @@ byte-level rule needs it.
 
 from __future__ import annotations
 
+import json
 import os
 
 
@@ -43,6 +44,9 @@ class Encoder:
         self.separator = None
         if not any(BYTE_SIGNS[0] in k for k in self.tokenizer.get_vocab() if len(k) > 1):
             self.separator = self.tokenizer.token_to_id(BYTE_SIGNS[0])
+        # The same merges without any rule before them.
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare)) if byte_level else None
         #: A cache by what stands before its pieces (a space or nothing), in two generations.
         self.known: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
         self.old: dict[str, dict[str, bytes | None]] = {"": {}, " ": {}}
@@ -64,8 +68,8 @@ class Encoder:
         ended = pc.and_(pc.match_substring_regex(new, "[.,!]$"), pc.match_substring_regex(stem := pc.utf8_slice_codeunits(new, 0, -1), plain))
         stems, whole = stem.filter(ended).to_pylist(), new.filter(word).to_pylist()
         words = list({*whole, *[x for x in stems if x not in cache]})
-        for i in range(0, len(words), 2048):
-            cache.update(zip(words[i : i + 2048], self._words(words[i : i + 2048], before)))
+        for i in range(0, len(words), 512):
+            cache.update(zip(words[i : i + 512], self._words(words[i : i + 512], before)))
         marks = self.marks
         cache.update([(p, cache[x] + marks[p[-1]]) for p, x in zip(new.filter(ended).to_pylist(), stems)])
         rest = []
@@ -81,8 +85,8 @@ class Encoder:
         """Ids of words of letters by the library's model: for these its normalizer is ``lower`` or nothing."""
         import numpy as np
 
-        tokenize = self.tokenizer.model.tokenize
         if not self.byte_level:
+            tokenize = self.tokenizer.model.tokenize
             signs = "\0".join(words).lower().encode().decode("latin-1").translate(BYTE_SIGNS).split(BYTE_SIGNS[0])
             ids = [[t.id for t in tokenize(w)] for w in signs]
             ends = np.cumsum([len(x) for x in ids])
@@ -93,7 +97,8 @@ class Encoder:
             return self._pieces([before + w for w in words])
         # No token but its own holds the sign of byte 0: words that it separates are merged each by itself.
         text = before + ("\0" + before).join(words)
-        ids = np.array([t.id for t in tokenize(text.encode().decode("latin-1").translate(BYTE_SIGNS))], dtype="<u2")
+        signs = text.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = np.array(self.bare.encode_batch_fast([signs], add_special_tokens=False)[0].ids, dtype="<u2")
         cuts = [-1, *np.flatnonzero(ids == self.separator).tolist(), len(ids)]
         data = ids.tobytes()
         return [data[2 * a + 2 : 2 * b] for a, b in zip(cuts, cuts[1:])]
@@ -143,13 +148,13 @@ class Encoder:
             codes[starts] = len(found) + np.arange(len(starts))
             found += self._lookup(firsts, "")
         odd = np.array([x is None for x in found])
-        lengths = np.array([len(x) // 2 if x else 0 for x in found], dtype=np.int64)
+        lengths = np.array([len(x) // 2 if x else 0 for x in found], dtype=np.int32)
         data = np.frombuffer(b"".join([x for x in found if x]), dtype="<u2")
-        at = np.cumsum(lengths) - lengths
+        at = np.cumsum(lengths, dtype=np.int32) - lengths
         sizes = lengths[codes]
-        ends = np.cumsum(sizes)
-        ids = data[np.repeat(at[codes] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
-        cuts = (2 * np.concatenate([[0], ends])[offsets]).tolist()
+        ends = np.cumsum(sizes, dtype=np.int32)
+        ids = data[np.repeat(at[codes] - ends + sizes, sizes) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        cuts = (2 * np.concatenate([[0], ends]).astype(np.int64)[offsets]).tolist()
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         if odd.any():  # space beside space, or at an end: no cut there
             for i in np.flatnonzero(np.logical_or.reduceat(odd[codes], offsets[:-1])).tolist():

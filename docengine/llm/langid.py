@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._common import need
 
 #: At most about so many labelled rows of each language are fitted, chosen by the smallest hashes of their id.
-ROWS_PER_LANGUAGE = 1500
+ROWS_PER_LANGUAGE = 500
 MOST_LANGUAGES = 256
 BUCKETS = 1 << 16
 AMBIGUOUS = 0.1
@@ -105,19 +105,17 @@ def fit(rows: list[tuple[str, str]], epochs: int = 300) -> Model:
         return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
     code = codewords(len(languages))
     used = np.zeros(BUCKETS, dtype=np.int64)
-    counted = []
     for t, _ in rows:
-        places, n = np.unique(features(t), return_counts=True)
-        used[places] += 1
-        counted.append((places, (n / n.sum()).astype(np.float32)))
+        used[np.unique(features(t))] += 1
     kept = np.argsort(-used, kind="stable")[:4096]  # the commonest n-grams carry the decision
     column = np.full(BUCKETS, -1)
     column[kept] = np.arange(len(kept))
     x = np.zeros((len(rows), len(kept)), dtype=np.float32)
-    for i, (places, n) in enumerate(counted):
+    for i, (t, _) in enumerate(rows):  # texts are counted again rather than all their counts held
+        places, n = np.unique(features(t), return_counts=True)
         at = column[places]
-        x[i, at[at >= 0]] = n[at >= 0]
-    scale = 1 / np.sqrt((x**2).mean(axis=0) + 1e-7)
+        x[i, at[at >= 0]] = n[at >= 0] / n.sum()
+    scale = 1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-7)
     x *= scale / 8
     index = np.array([languages.index(lang) for _, lang in rows])
     y = code[index].astype(np.float32)
@@ -128,12 +126,12 @@ def fit(rows: list[tuple[str, str]], epochs: int = 300) -> Model:
     def solve(use):
         w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
         v, c = w.copy(), b.copy()
-        xs, ys, ws = x[use], y[use], balance[use][:, None] / balance[use].sum()
+        ws = (balance * use)[:, None] / balance[use].sum()
         rate = 1.0
         for _ in range(epochs):
-            z = xs @ (w + 0.9 * v) + b + 0.9 * c
-            g = -ys * ws / (1 + np.exp(np.clip(ys * z, -30, 30)))
-            v = 0.9 * v - rate * (xs.T @ g + 1e-4 * w)
+            z = x @ (w + 0.9 * v) + b + 0.9 * c
+            g = -y * ws / (1 + np.exp(np.clip(y * z, -30, 30)))
+            v = 0.9 * v - rate * (x.T @ g + 1e-4 * w)
             c = 0.9 * c - rate * g.sum(axis=0)
             w, b = w + v, b + c
         return w, b

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import need
+from .tokens import forget
 
 #: At most about so many labelled rows of each language are fitted, chosen by the smallest hashes of their id.
 ROWS_PER_LANGUAGE = 500
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def guess(texts):
         import pandas as pd
 
+        forget()
         return pd.DataFrame([told.value.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
     found = base.withColumn("__guess", guess(F.col("text")))

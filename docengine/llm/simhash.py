@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, checked_broadcast, need
+from .tokens import forget
 
 SHINGLE = 4
 RADIUS = 4
@@ -66,6 +67,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, prints: int = 1) -> DataF
         import numpy as np
         import pandas as pd
 
+        forget()
         rows = np.array([fingerprint(t, size, prints) for t in texts], dtype=np.uint64).reshape(-1, prints).view(np.int64)
         return pd.DataFrame(rows, columns=[f"p{k}" for k in range(prints)])
 

@@ -172,6 +172,11 @@ def encoder(path: str, byte_level: bool) -> Encoder:
     return _encoders[path, byte_level]
 
 
+def forget() -> None:
+    """Drop this worker's encoders and caches: other operators call it, since workers outlive an operator."""
+    _encoders.clear()
+
+
 def text_slices(texts, most: int = 8 << 20):
     """Ranges of consecutive texts (an Arrow string array) of about ``most`` bytes at most: bounds a worker's memory."""
     import numpy as np

@@ -20,32 +20,46 @@ RADIUS = 4
 SEED = 42
 #: Segments as (print, first bit, bits, ball radius): fixed values for radius 4 by the pigeonhole principle.
 SEGMENTS = ((0, 0, 21, 1), (0, 21, 21, 1), (0, 42, 22, 0))
-#: For near copies by similarity: four prints of 64 bits over 5-word shingles, tables of the 12-bit segments themselves (balls of radius 0).
-#: Two texts of Jaccard similarity J differ in a bit with probability arccos(2J / (1 + J)) / pi: 0.15 at 0.8, 0.10 at 0.9. So texts of 0.8 share a
-#: segment with probability 0.95 (0.9: 0.998), and at most 43 of 256 bits tell similarity 0.8 from 0.6 (expected: 39 and 59 bits).
-LONG = {"size": 5, "prints": 4, "segments": tuple((w, 12 * k, 12, 0) for w in range(4) for k in range(5)), "radius": 43}
+#: Near copies by similarity: four prints of 64 bits over 5-word shingles, tables of the 12-bit segments themselves (balls of radius 0), at most 28 of
+#: 256 bits; the exact Jaccard similarity of shingles decides. Two texts of similarity J differ in a bit with probability about arccos(2J / (1 + J)) / pi
+#: (0.15 at 0.8, up to 0.19 for few shingles), so the tables alone miss pairs: those are found by shared shingles, see ``sharing``.
+LONG = {"size": 5, "prints": 4, "segments": tuple((w, 12 * k, 12, 0) for w in range(4) for k in range(5)), "radius": 28, "least": 0.8}
+#: Of four prints; texts of similarity 0.8 differ in 39 to 48 bits, with a standard deviation of 6.
+FAR = 96
 BUCKET_ROWS = 8192
 MOST_ROUNDS = 100
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, prints: int = 1) -> list[int]:
-    """The 64-bit SimHashes of the text's word shingles, each by another hash; the first is XXH64's. All 0 without words."""
+def shingles(text: str | None, size: int):
+    """XXH64 of each of the text's word shingles, repeats included; of the whole text if it has no more than ``size`` words."""
     import numpy as np
     import xxhash
 
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return [0] * prints
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     h = xxhash.xxh64_intdigest
     if len(words) <= size:
-        hashes = np.array([h(joined, SEED)], dtype="<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-1]])[: len(words) - size + 1].tolist()
-        hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], dtype="<u8")
+        return np.array([h(joined, SEED)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])[: len(words) - size + 1].tolist()
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], dtype="<u8")
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, prints: int = 1) -> list[int]:
+    """The 64-bit SimHashes of the text's word shingles, each by another hash; the first is XXH64's. All 0 without words."""
+    return votes(shingles(text, size), prints)
+
+
+def votes(hashes, prints: int) -> list[int]:
+    """The SimHashes of shingles' hashes."""
+    import numpy as np
+
+    if not len(hashes):
+        return [0] * prints
     out = []
     for k in range(prints):
         if k:
@@ -250,15 +264,161 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, prints: int = 1, segme
     return table.join(named, on).select("doc_id", *names, "component_id")
 
 
+def alike(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int, least: float, name: str) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose ``texts`` (id, text) have shingle sets of Jaccard similarity ``least`` or more."""
+
+    @F.pandas_udf("boolean")
+    def close(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out, last, x = [], None, None
+        for a, b in zip(left, right):
+            if last is None or a != last:
+                last, x = a, np.unique(shingles(a, size))
+            y = np.unique(shingles(b, size))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        return pd.Series(out)
+
+    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+    rows = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    return scratch.table(rows.where(close("left", "right")).select("a", "b"), name)
+
+
+def sharing(texts: DataFrame, scratch: Scratch, size: int, least: float) -> DataFrame:
+    """(a, b): pairs of ``texts`` (id, part, text) of different parts; all whose shingle sets have Jaccard similarity ``least`` or more are among them.
+
+    Such sets share ``least`` of either's shingles. So, in whatever order of all shingles, they share one of those that come first in each, as
+    many as may be missing and one more; and neither is smaller than ``least`` of the other. The order puts shingles that a sample
+    finds in many texts last, and else goes by hash: the sample speeds the search up and loses nothing.
+    """
+    import numpy as np
+
+    @F.pandas_udf("array<long>")
+    def every(texts):
+        import pandas as pd
+
+        return pd.Series([np.unique(shingles(t, size)).view(np.int64) for t in texts])
+
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode(every("text")).alias("hash"))
+    hot = sample.groupBy("hash").count().where("count > 3").orderBy(F.desc("count"), "hash").limit(1 << 15).collect()
+    hot.sort(key=lambda r: r["hash"] % (1 << 64))
+    common = np.array([r["hash"] for r in hot], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in hot], dtype=np.int64)
+    told = texts.sparkSession.sparkContext.broadcast(common)
+
+    @F.pandas_udf("n int, first array<long>")
+    def prefix(texts):
+        import pandas as pd
+
+        forget()
+        known, counts = told.value
+        rows = []
+        for t in texts:
+            x = np.unique(shingles(t, size))
+            most = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
+            if len(known) and len(x):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                x = x[np.argsort(np.where(known[at] == x, counts[at], 0), kind="stable")]
+            rows.append((len(x), x[:most].view(np.int64)))
+        return pd.DataFrame(rows, columns=["n", "first"])
+
+    firsts = texts.select("id", "part", prefix("text").alias("p")).select(F.explode("p.first").alias("hash"), "p.n", "id", "part")
+    dealt = firsts.repartition("hash").sortWithinPartitions("hash", "n", "id")
+
+    def pair(batches):
+        import pyarrow as pa
+
+        def solve(cols):
+            hashes, n, ids, part = cols
+            run = np.cumsum(np.concatenate([[0], np.diff(hashes) != 0])) << 32
+            upto = np.searchsorted(run + n, run + np.floor(n / least + 1e-9).astype(np.int64), "right")
+            work = np.cumsum(upto - np.arange(len(n)) - 1)
+            at = 0
+            while at < len(n):
+                end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 1_000_000)))
+                many = upto[at:end] - np.arange(at, min(end, len(n))) - 1
+                x = np.repeat(np.arange(at, at + len(many)), many)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+                at = end
+                differ = part[x] != part[y]
+                x, y = ids[x[differ]], ids[y[differ]]
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.argmax(cols[0] == cols[0][-1]))  # the last shingle may go on in the next batch
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield from solve([c[:cut] for c in cols])
+        if held is not None:
+            yield from solve(held)
+
+    return scratch.table(dealt.mapInArrow(pair, "a long, b long").distinct(), "sharing")
+
+
+def near_copies(docs: DataFrame, size: int, prints: int, segments, radius: int, least: float) -> DataFrame:
+    """For each of ``docs`` (doc_id, text), whose ids are distinct: doc_id, component_id (the smallest doc_id that links of near copies reach).
+
+    Near copies have word shingles of Jaccard similarity ``least`` or more, compared exactly. Texts of equal shingle sets are one class.
+    SimHash tables give links of few differing bits as spanning forests, so that a group of near copies isn't expanded into
+    all pairs; then all other candidates that these links, compared, don't join are compared too.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-copies")
+    names = [f"p{k}" for k in range(prints)]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names) + ", digest binary")
+    def of(texts):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        forget()
+        rows, digests = [], []
+        for t in texts:
+            hashes = np.unique(shingles(t, size))  # votes of the set, so that repeats of a shingle don't part near copies
+            rows.append(votes(hashes, prints))
+            digests.append(hashlib.sha256(hashes.tobytes()).digest()[:16])
+        out = pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, prints).view(np.int64), columns=names)
+        return out.assign(digest=digests)
+
+    table = scratch.table(need(docs, "doc_id", "text").select("doc_id", of(F.col("text")).alias("p")).select("doc_id", "p.*"), "prints")
+    classes = scratch.table(table.groupBy("digest", *names).agg(F.min("doc_id").alias("id")), "classes")
+    texts = need(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi")
+    near = links(classes.select("id", *names), Scratch(spark, "near-links"), BUCKET_ROWS, segments, radius)
+    sure = alike(near, texts, scratch, size, least, "sure")
+    known = components(sure, Scratch(spark, "near-parts"))
+    parted = texts.join(known, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("part"), "text")
+    pairs = sharing(parted, scratch, size, least)
+    # Seven standard deviations above what texts of ``least`` 0.8 differ in: this spares comparing texts that share a passage alone.
+    left = classes.select(F.col("id").alias("a"), *[F.col(n).alias(f"a{n}") for n in names])
+    right = classes.select(F.col("id").alias("b"), *[F.col(n).alias(f"b{n}") for n in names])
+    bits = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
+    pairs = pairs.join(left, "a").join(right, "b").where(bits <= FAR).select("a", "b")
+    also = alike(scratch.table(pairs, "far"), texts, scratch, size, least, "also")
+    labels = components(sure.union(also), Scratch(spark, "near-components"))
+    told = classes.select("digest", "id").join(labels, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "id").alias("component_id"))
+    return table.join(told, F.col("digest") == F.col("d")).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without all but one document of each component: the row of its smallest doc_id; of rows that repeat this id, one stays.
 
-    ``how``: parameters of ``near_duplicates``. All columns stay. Documents whose id is null are compared by text alone and each stay unless another row has the same fingerprint's component.
+    ``how``: parameters of ``near_copies`` if they tell the ``least`` similarity, else of ``near_duplicates``. All columns stay. Documents whose id is null are compared by text alone and each stay unless another row has the same fingerprint's component.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     own = docs.columns
     numbered = scratch.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows")
-    groups = near_duplicates(numbered.select(F.col("row_id").alias("doc_id"), "row.text"), **how)
+    find = near_copies if "least" in how else near_duplicates
+    groups = find(numbered.select(F.col("row_id").alias("doc_id"), "row.text"), **how)
     ids = scratch.table(groups.select(F.col("doc_id").alias("r"), "component_id"), "groups")
     ranked = ids.join(numbered.select("row_id", F.col("row.doc_id").alias("d")), F.col("r") == F.col("row_id"))
     first = ranked.groupBy("component_id").agg(F.min(F.struct(F.coalesce("d", F.lit((1 << 63) - 1)).alias("d"), F.col("row_id"))).alias("first"))

@@ -326,6 +326,23 @@ def test_keep_one(spark, docs, empty):
     assert simhash.keep_one(docs.union(docs)).count() == kept.count() and simhash.keep_one(empty).count() == 0
 
 
+def test_near_copies_are_those_of_equal_shingles(spark):
+    """Pairs of exactly 0.8 are linked, pairs of just under 0.8 are not, whatever their length."""
+    r = random.Random(5)
+    rows, want = [], 0
+    for k in range(400):
+        n = (9, 36, 90, 180)[k % 4]  # shingles; the last word's change costs one, so do the last m words cost m
+        words = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+        m = n // 9 + (k % 8 >= 4) * max(1, n // 45)
+        other = words[:-m] + [f"v{r.randrange(10**6)}" for _ in range(m)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want += (n - m) / (n + m) >= 0.8
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.LONG)
+    kept = {x.doc_id for x in got.select("doc_id").collect()}
+    linked = [k for k in range(400) if 2 * k + 1 not in kept]
+    assert want == 200 and linked == [k for k in range(400) if k % 8 < 4]
+
+
 def test_search(spark):
     r = np.random.RandomState(0)
     centres = r.randn(12, 16)

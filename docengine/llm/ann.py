@@ -2,7 +2,8 @@
 
 Codebooks of 16 centres for each pair of dimensions are trained on a bounded sample with a loss in which the part of
 the residual that is parallel to the vector, which shifts its inner products, weighs more than the orthogonal part. All
-vectors are coded. A scan sums two-subspace tables over the code bytes; the best of each block are scored exactly.
+vectors are coded. A scan sums two-subspace tables over the code bytes; the best of each block are scored exactly, and so
+is every other row whose table sum lies within its quantisation error of the k-th best of these. So none of the nearest is lost.
 Queries and vectors meet in pairs of blocks of bounded size; of each pair only the nearest ``k`` of each query leave the task.
 """
 
@@ -115,30 +116,53 @@ def usable(vectors: DataFrame) -> DataFrame:
     return need(vectors, "vec_id", "embedding").where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).withColumn("embedding", v).where(F.coalesce(fine, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
 
 
+def decoded(q: Quantiser, codes):
+    """The vectors that codes stand for."""
+    import numpy as np
+
+    subs = q.books.shape[0]
+    return q.books[np.arange(subs), codes].reshape(len(codes), -1)
+
+
 def nearest(q: Quantiser | None, ids, x, query_ids, queries, k: int, rerank: int):
-    """(query_id, vec_id, score) of the ``k`` largest exact products of each query among the ``rerank`` best by the tables."""
+    """(query_id, vec_id, score) of the ``k`` largest exact products of each query.
+
+    The ``rerank`` best by the tables give a k-th best product; rows whose table sum and largest possible error (the lengths of
+    the query and of the row's residual multiplied) stay below it can't be among the nearest. All others, ties included, are scored.
+    """
     import numpy as np
 
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    packed = q.pack(q.assign(x)) if q is not None and len(ids) > rerank else None
+    coded = q is not None and len(ids) > rerank > k
+    if coded:
+        codes = q.assign(x)
+        packed, error = q.pack(codes), np.sqrt(((x - decoded(q, codes)) ** 2).sum(1))
+    longest = np.sqrt((x**2).sum(1).max())
     out = []
     for i in range(0, len(queries), 64):
-        some = queries[i : i + 64]
-        if packed is not None:
+        some, asking = queries[i : i + 64], query_ids[i : i + 64]
+        length = np.sqrt((some**2).sum(1))
+        rows = np.arange(len(ids))
+        if coded:
             tables, total = q.tables(some), np.zeros((len(some), len(x)), dtype=np.float32)
             for m in range(packed.shape[1]):
                 total += tables[:, m][:, packed[:, m]]
-        for j, (qid, query) in enumerate(zip(query_ids[i : i + 64].tolist(), some)):
-            if packed is None:
-                rows = np.arange(len(ids))
-            else:  # all better than the rerank-th, then those equal to it in order of id
-                line = np.partition(total[j], len(ids) - rerank)[len(ids) - rerank]
-                rows = np.concatenate([np.flatnonzero(total[j] > line), np.flatnonzero(total[j] == line)])[: rerank + k]
-            rows = rows[ids[rows] != qid]
-            scores = (x[rows] * query).sum(1)
-            best = np.lexsort((ids[rows], -scores))[:k]
-            out += zip([qid] * len(best), ids[rows][best].tolist(), scores[best].tolist())
+            total[asking[:, None] == ids[None]] = -np.inf
+            best = np.argpartition(total, len(ids) - rerank, axis=1)[:, len(ids) - rerank :]
+            known = np.stack([x[b] @ v for b, v in zip(best, some)])
+            known[ids[best] == asking[:, None]] = -np.inf
+            line = np.partition(known, rerank - k, axis=1)[:, rerank - k]
+            # The last term covers the rounding of the tables and of the products.
+            rows = np.flatnonzero((total + length[:, None] * (error + 1e-4 * longest) >= line[:, None]).any(0))
+        product = some @ x[rows].T
+        product[asking[:, None] == ids[rows][None]] = -np.inf
+        for qid, query, own, size in zip(asking.tolist(), some, product, length):
+            line = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+            near = rows[(own >= line - 1e-9 * size * longest) & (own > -np.inf)]
+            scores = (x[near] * query).sum(1)
+            first = np.lexsort((ids[near], -scores))[:k]
+            out += zip([qid] * len(first), ids[near][first].tolist(), scores[first].tolist())
     return out
 
 

@@ -361,6 +361,20 @@ def test_search(spark):
     assert ann.search(frame.limit(0)).count() == 0 and ann.search(frame.where("vec_id < 3")).count() == 2
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.01, 0.0])
+def test_search_finds_all_nearest_in_a_hot_group(spark, noise):
+    """A third of the vectors are near copies of one point, which the codes can't tell apart."""
+    r = np.random.RandomState(3)
+    x = r.randn(9000, 64) / 8
+    hot = r.permutation(9000)[:3000]
+    x[hot] = x[hot[0]] + noise * r.randn(3000, 64) / 8
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got: dict = {}
+    for f in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=60).orderBy("query_id", "rank").collect():
+        got.setdefault(f.query_id, []).append(f.vec_id)
+    assert got == brute.nearest({i: np.array(v) for i, v in rows}, every=60)
+
+
 def test_anisotropic_codes_keep_inner_products_better():
     r = np.random.RandomState(1)
     x = r.randn(2000, 16)

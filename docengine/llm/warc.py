@@ -22,11 +22,12 @@ VERSION = b"WARC/1.1"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+#: So much is read beyond a range for the header of its last record; longer headers are read on to their end.
 HEADER_BYTES = 64 << 10
 END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-CHAIN = "path string, range int, offset long, exit long, entered boolean"
+CHAIN = "path string, range int, offset long, exit long, entered boolean, records int"
 RECORDS = "path string, offset long, type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, page_id long, payload binary"
 
 
@@ -61,16 +62,17 @@ def record(kind: str, number: int | None, uri: str | None, payload: bytes, name:
 
 def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Header fields (lower-case names) of the record at ``at`` and the offset of its block; None if that is no record."""
-    stop = data.find(END, at, at + HEADER_BYTES)
-    if stop < 0 or not MAGIC.match(data, at):
+    first = MAGIC.match(data, at)
+    if not first:
         return None
-    fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    fields, begin = {}, first.end()
+    while (stop := data.find(b"\r\n", begin)) != begin:
+        name, colon, value = data[begin : max(begin, stop)].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return (fields, stop + len(END)) if fields.get("content-length", "").isdigit() else None
+        begin = stop + 2
+    return (fields, stop + 2) if fields.get("content-length", "").isdigit() else None
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -88,7 +90,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write a record for each page into archives in ``folder``; returns the list of files (path, bytes).
+    """Write a record for each page into archives in ``folder``; returns the list of files (path, bytes, records).
 
     Null html is an empty payload, null urls are about:blank, rows with a null page_id have a record without a number;
     an empty table writes no file. Each task attempt writes files of its own name; just those of committed attempts are listed.
@@ -98,7 +100,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
     def write(batches):
         import pyarrow as pa
 
-        out, uri, size = None, "", 0
+        out, uri, size, n = None, "", 0, 0
         files = []
         for batch in batches:
             for page, url, html, of in zip(*[batch.column(i).to_pylist() for i in range(4)]):
@@ -106,27 +108,28 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
                 data = record("response" if of is None else "revisit", page, url, payload, digest(payload), of)
                 if out is not None and size + len(data) > file_bytes:
                     out.close()
-                    files.append((uri, size))
+                    files.append((uri, size, n))
                     out = None
                 if out is None:
-                    uri, size = f"{folder}/data/{uuid.uuid4().hex}.warc", 0
+                    uri, size, n = f"{folder}/data/{uuid.uuid4().hex}.warc", 0, 0
                     store, path = filesystem(uri)
                     out = store.open_output_stream(path)
                 out.write(data)
                 size += len(data)
+                n += 1
         if out is not None:
             out.close()
-            files.append((uri, size))
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64())], names=["path", "bytes"])
+            files.append((uri, size, n))
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), *[pa.array([f[i] for f in files], pa.int64()) for i in (1, 2)]], names=["path", "bytes", "records"])
 
-    files = revisits(pages, min_bytes).mapInArrow(write, "path string, bytes long")
+    files = revisits(pages, min_bytes).mapInArrow(write, "path string, bytes long, records long")
     files.write.mode("overwrite").parquet(f"{folder}/files")
-    return pages.sparkSession.read.schema("path string, bytes long").parquet(f"{folder}/files")
+    return pages.sparkSession.read.schema("path string, bytes long, records long").parquet(f"{folder}/files")
 
 
 def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     """A row for each byte range, dealt out evenly."""
-    rows = files.withColumn("range", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("bytes") / range_bytes).cast("int") - 1))))
+    rows = files.select("path", "bytes").withColumn("range", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("bytes") / range_bytes).cast("int") - 1))))
     n = max(1, rows.count())
     return rows.repartition(min(n, 100_000), "path", "range")
 
@@ -147,12 +150,17 @@ def candidates(data: bytes, base: int, begin: int, end: int, size: int) -> dict[
 
 
 def _load(store, path: str, begin: int, end: int, size: int) -> bytes:
+    """The bytes from ``begin`` to ``end``, and on to the end of a header that starts before ``end``."""
     with store.open_input_file(path) as f:
-        return f.read_at(min(size, end + HEADER_BYTES) - begin, begin)
+        data = f.read_at(min(size, end + HEADER_BYTES) - begin, begin)
+        # A header has no empty line, so one that is open where the data ends starts after the last one.
+        while begin + len(data) < size and MAGIC.search(data, data.rfind(END) + 1, end - begin + len(VERSION) + 2):
+            data += f.read_at(min(size - begin - len(data), max(HEADER_BYTES, len(data))), begin + len(data))
+        return data
 
 
 def chains(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """For each candidate that can be a range's first record: the first offset beyond the range on its chain.
+    """For each candidate that can be a range's first record: the first offset beyond the range on its chain, and the records up to it.
 
     A chain enters a range at any of its candidates, so each candidate has a row.
     """
@@ -166,13 +174,14 @@ def chains(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 store, path = filesystem(r["path"])
                 begin, end = r["range"] * range_bytes, min(r["bytes"], (r["range"] + 1) * range_bytes)
                 found = candidates(_load(store, path, begin, end, r["bytes"]), begin, begin, end, r["bytes"])
-                leave: dict[int, int] = {}
+                leave: dict[int, tuple[int, int]] = {}
                 for at in sorted(found, reverse=True):
-                    leave[at] = leave.get(found[at], found[at])
-                for at, away in leave.items():
-                    rows.append((r["path"], r["range"], at, away, at == 0))
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["path", "range", "offset", "exit", "entered"])
+                    away, n = leave.get(found[at], (found[at], 0))
+                    leave[at] = (away, n + 1)
+                for at, (away, n) in leave.items():
+                    rows.append((r["path"], r["range"], at, away, at == 0, n))
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["path", "range", "offset", "exit", "entered", "records"])
 
     return _ranges(files, range_bytes).mapInArrow(scan, CHAIN)
 
@@ -195,18 +204,24 @@ def entries(files: DataFrame, scratch: Scratch, range_bytes: int = RANGE_BYTES)
         far = jumps.select("path", F.col("offset").alias("exit"), F.col("exit").alias("beyond"))
         jumps = scratch.table(jumps.join(far, ["path", "exit"]).select("path", "offset", F.col("beyond").alias("exit")), f"jumps{k + 1}")
         k += 1
-    return reached.select("path", F.floor(F.col("offset") / range_bytes).cast("int").alias("range"), "offset")
+    counts = nodes.select("path", "offset", "records")
+    return reached.join(counts, ["path", "offset"]).select("path", F.floor(F.col("offset") / range_bytes).cast("int").alias("range"), "offset", "records")
 
 
 def read_warc(files: DataFrame, scratch: Scratch, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records that are reachable from their file's start, with payload, in any order.
 
-    ``files``: path, bytes. Payloads of revisits are empty; ``payload_bytes`` and ``payload_digest`` are those of the full payload.
+    ``files``: path, bytes; with a column ``records``, a file of which another number can be reached makes the read fail. Payloads of revisits are empty; ``payload_bytes`` and ``payload_digest`` are those of the full payload.
     A response whose payload has another digest than its header says makes the read fail. A file that doesn't start with
     a record gives none; what follows a broken record is unreachable.
     """
     spark = files.sparkSession
     starts = scratch.table(entries(files, scratch, range_bytes), "entries")
+    if "records" in files.columns:
+        got = starts.groupBy(F.col("path").alias("p")).agg(F.sum("records").alias("n"))
+        bad = files.join(got, F.col("path") == F.col("p"), "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> records").first()
+        if bad is not None:
+            raise ValueError(f"{bad['path']}: {bad['records']} records written, {bad['n']} can be read")
 
     def read(batches):
         import pyarrow as pa

@@ -96,6 +96,22 @@ def test_warc_round_trip(spark, range_bytes):
     assert all(bytes(r.payload) == html[r.page_id] for r in got if r.type == "response")
 
 
+@pytest.mark.parametrize("range_bytes", [2000, 90_000, 8 << 20])
+def test_warc_headers_of_any_length(spark, range_bytes):
+    url = "data:text/html," + "x" * 300_000
+    pages = spark.createDataFrame([(i, url if i % 3 == 1 else "u", f"page {i}" * (i % 5)) for i in range(12)], "page_id long, url string, html string")
+    scratch = Scratch(spark, "warc")
+    got = warc.read_warc(warc.write_warc(pages.coalesce(1), scratch.root), scratch, range_bytes).collect()
+    assert sorted((r.page_id, r.uri) for r in got) == sorted((r.page_id, r.url) for r in pages.collect())
+
+
+def test_lost_records_make_the_read_fail(spark):
+    scratch = Scratch(spark, "warc")
+    files = warc.write_warc(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1), scratch.root)
+    with pytest.raises(ValueError, match="3 records written, 2 can be read"):
+        warc.read_warc(files.withColumn("records", F.col("records") + 1), scratch)
+
+
 def test_warc_of_no_pages(spark):
     scratch = Scratch(spark, "warc")
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -1,8 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent, distinct, the same wherever an entity occurs. SQL functions only.
 
 One regular expression cuts a text into entities and what lies between. Each distinct entity gets a surrogate
-made from a keyed hash: e-mail addresses, phone numbers, card numbers (16 digits, Luhn-valid if the original is),
-IPv4 addresses (reserved range 240-255), US social security numbers (unused area 9xx), IBANs, secrets (hex or base-62 of
+made from a keyed hash: e-mail addresses, phone numbers, card numbers (16 digits, Luhn-valid if the original is; other Luhn-valid
+numbers of 13 to 19 digits), IPv4 addresses (reserved range 240-255), IPv6 addresses (documentation range 2001:db8), US social security numbers (unused area 9xx), IBANs, secrets (hex or base-62 of
 equal length and case) and names after a form of address, which keep gender, script and letter case. Separators, digit
 groups and letter case stay as they are. Surrogates that meet each other or a real entity of the corpus are made again with
 the next attempt number, until none does; so distinct entities stay distinct, and no surrogate is a real value.
@@ -22,14 +22,24 @@ EMAIL = r"[\p{L}\p{N}._%+\-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]
 SECRET = r"(?i:token|secret|password|api_?key|access_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-]{16,128}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}[ \-]?[0-9]{4}(?![0-9A-Za-z])"
+CARD_BY_LUHN = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ \-]?[0-9]{6}[ \-]?[0-9]{4,5}|[0-9]{13,19})(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])"
-NAME = r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа)\.? \p{Lu}\p{L}{1,30}(?: \p{Lu}\p{L}{1,30})?"
-ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, CARD, SSN, IPV4, PHONE, NAME))
+_GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[A-Fa-f:]*[0-9])(?:(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{1,7}}:|:(?::{_GROUP}){{1,7}}))(?![0-9A-Za-z:]|\.[0-9])"
+INTERNATIONAL = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"
+BRACKETED = r"(?<![0-9A-Za-z])\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
+SEPARATED = r"(?<![0-9A-Za-z.\-])(?:1[ .\-])?(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|[0-9]{3} [0-9]{3}[ \-][0-9]{4})(?![.\-]?[0-9A-Za-z])"
+# With a trunk zero, of 9 to 14 digits, and not a date.
+TRUNK = r"(?<![0-9A-Za-z.\-+])(?!0[1-9][\-/][01][0-9][\-/][12][0-9]{3})(?=0(?:[ /\-]?[0-9]){8,13}(?![ /\-]?[0-9]))0[1-9][0-9]{0,3}[ /\-][0-9]{2,8}(?:[ \-][0-9]{2,8}){0,4}(?![0-9A-Za-z])"
+PHONE = "|".join((INTERNATIONAL, BRACKETED, SEPARATED, TRUNK))
+TITLE = "(?:Mrs|Mr|Ms|Miss|Mx|Sir|Madam|Dra|Dr|Professorin|Professor|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Господин|Госпожа|Доктор|Профессор)"
+NAME = rf"(?<!\p{{L}}){TITLE}\.? (?:{TITLE}\.? ){{0,2}}\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?"
+ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, CARD, CARD_BY_LUHN, SSN, IPV4, IPV6, PHONE, NAME))
 
 # Forms of address by gender and script, and the names that stand in.
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
+MALE = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
+NEUTRAL = ["Mx", "Dr", "Professor", "Prof", "Доктор", "Профессор"]
 LATIN_MALE = ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Noah", "Oscar", "Paul"]
 LATIN_FEMALE = ["Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula"]
 CYRILLIC_MALE = ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Марк", "Олег", "Павел", "Роман", "Степан", "Тимур", "Юрий"]
@@ -42,14 +52,14 @@ def kind(entity: Column) -> Column:
     """The type of a matched entity."""
     whole = lambda p: entity.rlike(rf"\A(?:{p})\z")
     return (
-        F.when(entity.contains("@"), "email").when(whole(SECRET), "secret").when(whole(IPV4), "ipv4").when(whole(SSN), "ssn").when(whole(CARD), "card").when(whole(PHONE), "phone").when(whole(IBAN), "iban").otherwise("name")
+        F.when(entity.contains("@"), "email").when(whole(SECRET), "secret").when(whole(IPV4), "ipv4").when(whole(SSN), "ssn").when(whole(CARD) | whole(CARD_BY_LUHN), "card").when(whole(IPV6), "ipv6").when(whole(PHONE), "phone").when(whole(IBAN), "iban").otherwise("name")
     )
 
 
 def canonical(entity: Column, of: Column) -> Column:
-    """What makes two mentions the same entity: e-mails without case, numbers without separators, the rest as written."""
+    """What makes two mentions the same entity: e-mails and IPv6 addresses without case, numbers without separators, the rest as written."""
     digits = F.regexp_replace(entity, "[^0-9+]", "")
-    return F.when(of == "email", F.lower(entity)).when(of.isin("card", "phone", "ssn"), digits).when(of == "iban", F.regexp_replace(entity, " ", "")).otherwise(entity)
+    return F.when(of.isin("email", "ipv6"), F.lower(entity)).when(of.isin("card", "phone", "ssn"), digits).when(of == "iban", F.regexp_replace(entity, " ", "")).otherwise(entity)
 
 
 def _digest(key: str, of: Column, value: Column, attempt: Column) -> Column:
@@ -93,11 +103,13 @@ def _hex_fill(shape: Column, digest: Column, kept: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    """The Luhn sum (mod 10) of a string of 16 digits."""
+    """The Luhn sum (mod 10) of a string of digits."""
+    n = F.char_length(digits)
+
     def part(c: Column, i: Column) -> Column:
         d = c.cast("int")
         doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        return F.when(i % 2 == 0, doubled).otherwise(d)
+        return F.when((n - i) % 2 == 0, doubled).otherwise(d)
 
     return F.aggregate(F.transform(F.split(digits, ""), part), F.lit(0), lambda a, x: a + x) % 10
 
@@ -108,21 +120,24 @@ def surrogate(of: Column, value: Column, attempt: Column, key: str) -> Column:
     local = F.concat(_pick(d, 0, LATIN_MALE + LATIN_FEMALE), F.lit("."), F.substring(d, 40, 12))
     email = F.concat(F.lower(local), F.lit("@mail.example.org"))
     ipv4 = F.concat_ws(".", _number(d, F.lit(0), 15) + 240, *[_number(d, F.lit(i), 256) for i in (1, 2, 3)])
-    body = F.substring(_fill(value, d, F.lit(0)), 1, 15)
+    ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[F.substring(d, 4 * i + 1, 4) for i in range(6)])
+    body = F.substring(_fill(value, d, F.lit(0)), F.lit(1), F.char_length(value) - 1)
     check = (10 - luhn(F.concat(body, F.lit("0")))) % 10
     check = F.when(luhn(value) == 0, check).otherwise((check + 1 + _number(d, F.lit(29), 9)) % 10)
     card = F.concat(body, check.cast("string"))
-    country = F.char_length(F.regexp_extract(value, r"^\+(?:1(?=[0-9]{10}$)|[0-9]{2})?", 0))
+    country = F.char_length(F.regexp_extract(value, r"^(?:\+(?:1(?=[0-9]{10}$)|[0-9]{2})?|0)", 0))
     secret_start = F.char_length(F.regexp_extract(value, r"^(?i:token|secret|password|api_?key|access_?key)\s{0,3}[=:]\s{0,3}[\"']?", 0))
     hexadecimal = value.rlike(r"[=:]\s{0,3}[\"']?(?:[0-9a-f]+|[0-9A-F]+)$")
-    title = F.regexp_extract(value, r"^(\p{L}+\.? )", 1)
-    male = F.regexp_extract(value, r"^(\p{L}+)", 1).isin(MALE)
+    title = F.regexp_extract(value, rf"^(?:{TITLE}\.? )+", 0)
+    bare = F.regexp_replace(value, rf"^(?:{TITLE}\.? )+", "")
+    form = F.regexp_extract(value, r"^(\p{L}+)", 1)
+    male = F.when(form.isin(NEUTRAL), _number(d, F.lit(6), 2) == 0).otherwise(form.isin(MALE))
     cyrillic = value.rlike(r"\p{IsCyrillic}+$")
     first = F.when(cyrillic, F.when(male, _pick(d, 0, CYRILLIC_MALE)).otherwise(_pick(d, 0, CYRILLIC_FEMALE))).otherwise(F.when(male, _pick(d, 0, LATIN_MALE)).otherwise(_pick(d, 0, LATIN_FEMALE)))
     family = F.initcap(F.when(cyrillic, F.concat(*[_pick(d, i, CYRILLIC_SYLLABLES) for i in range(1, 6)])).otherwise(F.concat(*[_pick(d, i, LATIN_SYLLABLES) for i in range(1, 6)])))
-    name = F.concat(title, F.when(value.rlike(r"^\p{L}+\.? \p{L}+ \p{L}+$"), F.concat_ws(" ", first, family)).otherwise(family))
+    name = F.concat(title, F.when(bare.rlike(r"^\p{L}+ \p{L}+$"), F.concat_ws(" ", first, family)).otherwise(family))
     return (
-        F.when(of == "email", email).when(of == "ipv4", ipv4).when(of == "card", card)
+        F.when(of == "email", email).when(of == "ipv4", ipv4).when(of == "ipv6", ipv6).when(of == "card", card)
         .when(of == "ssn", F.concat(F.lit("9"), F.substring(_fill(value, d, F.lit(0)), 2, 8)))
         .when(of == "phone", _fill(value, d, country)).when(of == "iban", _fill(value, d, F.lit(2)))
         .when(of == "secret", F.when(hexadecimal, _hex_fill(value, d, secret_start)).otherwise(_fill(value, d, secret_start)))
@@ -178,13 +193,15 @@ def replace(docs: DataFrame, key: str = "surrogates", text: str = "text") -> Dat
     found = F.regexp_extract_all(body, F.lit(ENTITY), 0)
     own = [c for c in docs.columns if c != "n_entities"]
     base = docs.select(*[F.col(f"`{c}`") for c in own])
-    clue = body.rlike(r"[0-9@]|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа)\.? \p{Lu}|[=:]")
+    clue = body.rlike(rf"[0-9@]|{TITLE}\.? \p{{Lu}}|[=:]")
     size = F.when(clue, F.size(found)).otherwise(F.lit(0))
     hit = scratch.table(base.where(size > 0).select(F.struct("*").alias("row")).withColumn("row_id", F.monotonically_increasing_id()), "hit")
     inner = F.col(f"row.`{text}`")
     mentions = hit.select("row_id", F.explode(F.array_distinct(F.regexp_extract_all(inner, F.lit(ENTITY), 0))).alias("mention"))
     mentions = mentions.withColumn("kind", kind(F.col("mention"))).withColumn("value", canonical(F.col("mention"), F.col("kind")))
-    mentions = scratch.table(mentions, "mentions")
+    # Numbers that aren't cards by their length alone have to be by their check digit; others stay.
+    unsure = (F.col("kind") == "card") & ~F.col("mention").rlike(rf"\A(?:{CARD})\z")
+    mentions = scratch.table(mentions.where(~F.when(unsure, luhn(F.col("value")) != 0).otherwise(F.lit(False))), "mentions")
     entities = scratch.table(mentions.select("kind", "value").distinct(), "entities")
     plain = surrogates(entities, scratch, key).select(F.col("kind").alias("k"), F.col("value").alias("v"), "plain")
     known = mentions.join(checked_broadcast(plain, 256), (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")))
@@ -192,8 +209,8 @@ def replace(docs: DataFrame, key: str = "surrogates", text: str = "text") -> Dat
     maps = new.groupBy(F.col("row_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("new"))
     parts = F.split(inner, ENTITY, -1)
     texts = F.regexp_extract_all(inner, F.lit(ENTITY), 0)
-    filled = F.zip_with(parts, F.transform(texts, lambda m: F.element_at(F.col("new"), m)), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
-    joined = hit.join(maps, F.col("row_id") == F.col("id"))
-    changed = joined.select(*[F.array_join(filled, "").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in own], F.size(texts).alias("n_entities"))
+    filled = F.zip_with(parts, F.transform(texts, lambda m: F.coalesce(F.element_at(F.col("new"), m), m)), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    joined = hit.join(maps, F.col("row_id") == F.col("id"), "left")
+    changed = joined.select(*[F.array_join(filled, "").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in own], F.size(F.filter(texts, lambda m: F.element_at(F.col("new"), m).isNotNull())).alias("n_entities"))
     same = base.where(F.coalesce(size, F.lit(0)) <= 0).select("*", F.lit(0).alias("n_entities"))
     return same.unionByName(changed)

@@ -180,6 +180,27 @@ def test_surrogates(spark, empty):
     assert pii.replace(empty).count() == 0
 
 
+@pytest.mark.parametrize("value", ["555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "(555) 123.4567", "030 1234567", "01 23 45 67 89", "020 7946 0958", "378282246310005", "3782 822463 10005", "3056 930902 5904", "4222222222222", "6304000000000000000", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2a00:1450::"])
+def test_further_forms_of_private_data(spark, value):
+    got = pii.replace(spark.createDataFrame([(1, f"see {value}, or {value}.")], "doc_id long, text string")).first()
+    assert got.n_entities == 2 and value not in got.text and got.text.startswith("see ") and got.text.endswith(".")
+    digits = "".join(c for c in got.text[4:].split(",")[0] if c.isdigit())
+    if len(value) > 12 and ":" not in value and not value.startswith(("0", "1", "(")):
+        assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_names_after_further_forms_of_address(spark):
+    text = "Dr. Anna Klein, Prof Weber, Frau Dr. Petra Klein, Sr. García, Sir Henry and Доктор Иванов"
+    got = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_entities == 6 and "Frau Dr. " in got.text and not any(n in got.text for n in ("Anna Klein", "Weber", "Petra", "García", "Henry", "Иванов"))
+
+
+def test_numbers_that_are_no_cards_or_phones_stay(spark):
+    text = "378282246310006 and 1700000000000 at 10:20:30 on 01-02-2024 10:00, std::vector, 00:1a:2b:3c:4d:5e, 3.14.15"
+    got = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.text == text and got.n_entities == 0
+
+
 def test_surrogates_stay_distinct(spark):
     """More entities than a small space holds without collisions: all names after one form of address, and addresses."""
     rows = [("ipv4", f"10.0.{i // 256}.{i % 256}") for i in range(3000)] + [("phone", f"+1017555{i:04d}") for i in range(2000)]

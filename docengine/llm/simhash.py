@@ -1,37 +1,70 @@
-"""SimHash near-duplicates: multi-index hashing finds links, label spreading with pointer jumping joins them.
+"""SimHash near-duplicates: multi-index hashing finds links, contraction joins them into groups.
 
-Fingerprints of at most ``RADIUS`` differing bits are linked. A fingerprint is cut into three segments; of two linked ones,
-either the first or the second segment differs in one bit at most, or the third is equal. So each fingerprint is stored
-under its segments and probes the Hamming balls of radius 1, 1 and 0 around them; matches are verified on all bits. Only distinct
-fingerprints take part. Of each table bucket only a spanning forest of its links leaves the task, and buckets of more
-than ``BUCKET_ROWS`` are dealt out in pairs of blocks, so no group of near copies is expanded into all pairs.
+Fingerprints are cut into segments. Each is a table: a fingerprint is stored under its segment and probes the Hamming ball around
+it. A ball of radius 1 is dealt out by pieces: the segment is cut into pieces, and a row goes to the bucket of
+all pieces but one, for each of them. Of two segments that differ in one bit, the others are equal, so they meet in the bucket that
+leaves out the piece that differs; there the ball's values in that piece are enumerated and looked up. So a text makes as many rows as there are
+pieces, not one for each value of a ball. All matches are verified on all bits.
+
+Only distinct fingerprints take part. A task keeps a spanning forest of the links that it has found, nearest first, so
+no group of near copies is expanded into all pairs; buckets of more than ``BLOCK_ROWS`` are dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from math import acos, ceil, log, log2, pi, sqrt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, checked_broadcast, need
+from ._common import Scratch, checked_broadcast, need, spread_join
+from ._graph import components, forest
 from .tokens import forget
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Segments as (print, first bit, bits, ball radius): fixed values for radius 4 by the pigeonhole principle.
-SEGMENTS = ((0, 0, 21, 1), (0, 21, 21, 1), (0, 42, 22, 0))
-#: Near copies by similarity: four prints of 64 bits over 5-word shingles, tables of the 12-bit segments themselves (balls of radius 0), at most 28 of
-#: 256 bits; the exact Jaccard similarity of shingles decides. Two texts of similarity J differ in a bit with probability about arccos(2J / (1 + J)) / pi
-#: (0.15 at 0.8, up to 0.19 for few shingles), so the tables alone miss pairs: those are found by shared shingles, see ``sharing``.
-LONG = {"size": 5, "prints": 4, "segments": tuple((w, 12 * k, 12, 0) for w in range(4) for k in range(5)), "radius": 28, "least": 0.8}
-#: Of four prints; texts of similarity 0.8 differ in 39 to 48 bits, with a standard deviation of 6.
-FAR = 96
-BUCKET_ROWS = 8192
-MOST_ROUNDS = 100
+#: Near copies by similarity: words of a shingle, least Jaccard similarity, share of pairs of just this similarity that the tables bring together.
+SIMILAR = {"size": 5, "least": 0.8, "recall": 0.99}
+#: Prints of 64 bits whose distance orders and bounds the candidates, at least.
+LEAST_PRINTS = 8
+BLOCK_ROWS = 65_536
+#: Links that a task holds before it cuts them down to a forest, and links of a forest that it sends on.
+HELD, SENT = 1 << 20, 1 << 19
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """``segments``: (print, first bit, bits, pieces); no pieces: the segment has to be equal, else one bit may differ."""
+
+    prints: int
+    segments: tuple[tuple[int, int, int, int], ...]
+    radius: int
+
+
+#: For 64 bits and radius 4, by the pigeonhole principle: the first or second segment differs in one bit at most, or the third is equal.
+EXACT = Layout(1, ((0, 0, 21, 3), (0, 21, 21, 3), (0, 42, 22, 0)), RADIUS)
+
+
+def layout(rows: int, least: float = SIMILAR["least"], recall: float = SIMILAR["recall"]) -> Layout:
+    """Tables for ``rows`` texts in which pairs of similarity ``least`` meet with probability ``recall``.
+
+    Texts of similarity J differ in a bit with probability arccos(2J / (1 + J)) / pi. Segments are as wide as keeps the chance matches of a
+    text in a table about constant, whatever the rows; as many as the recall needs, so these grow slowly with the rows.
+    The radius lies three standard deviations above what texts of similarity ``least`` differ in.
+    """
+    differ = acos(2 * least / (1 + least)) / pi
+    bits = max(16, 2 * ceil((log2(max(rows, 1)) - 2) / 2))
+    hit = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+    count, fit = ceil(log(1 - recall) / log(1 - hit)), 64 // bits
+    prints = max(LEAST_PRINTS, ceil(count / fit))
+    mean = 64 * prints * differ
+    return Layout(prints, tuple((k // fit, k % fit * bits, bits, 2) for k in range(count)), int(mean + 3 * sqrt(mean * (1 - differ))))
+
+
 def shingles(text: str | None, size: int):
     """XXH64 of each of the text's word shingles, repeats included; of the whole text if it has no more than ``size`` words."""
     import numpy as np
@@ -88,183 +121,158 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, prints: int = 1) -> DataF
     return need(docs, "doc_id", "text").select("doc_id", of(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
-def distances(a, b):
-    """Differing bits of rows of prints: the last axis holds a text's prints."""
-    import numpy as np
+def tables(how: Layout) -> list[tuple[int, int, int, int, int, bool]]:
+    """(print, first bit, bits, first bit of the piece left out, its bits, whether equal segments count) for each table.
 
-    return sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int16) for k in range(a.shape[-1]))
+    Equal segments meet in all tables of a segment, so they count in the first alone.
+    """
+    out = []
+    for word, first, bits, pieces in how.segments:
+        if not pieces:
+            out.append((word, first, bits, 0, 0, True))
+        cuts = [bits * i // pieces for i in range(pieces)] + [bits] if pieces else []
+        out += [(word, first, bits, a, b - a, i == 0) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    return out
 
 
-def forest(a, b, prints_a, prints_b, radius: int):
-    """Links of a spanning forest of the graph between two sets of texts: their ids (arrays) and prints."""
-    import numpy as np
+def _buckets(classes: DataFrame, how: Layout) -> DataFrame:
+    """``classes`` (id, p0, ...) once for each table: with ``bucket`` (table and segment without the piece) and ``piece``."""
 
-    nodes = np.unique(np.concatenate([a, b]))
-    ia, ib = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-    root = np.arange(len(nodes))
-    links = []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for k in range(0, len(a), 256):
-        near = distances(prints_a[k : k + 256, None], prints_b[None]) <= radius
-        rows, cols = np.nonzero(near)
-        x, y = ia[rows + k], ib[cols]
-        # Only links between parts that aren't joined yet are walked through.
-        while True:
-            for _ in range(64):
-                up = root[root]
-                if (up == root).all():
-                    break
-                root[:] = up
-            apart = np.flatnonzero(root[x] != root[y])
-            if not len(apart):
-                break
-            # Links that hang distinct roots below smaller ones can't close a circle.
-            rx, ry = root[x[apart]], root[y[apart]]
-            high, low = np.maximum(rx, ry), np.minimum(rx, ry)
-            _, first = np.unique(high, return_index=True)
-            root[high[first]] = low[first]
-            links += zip(nodes[x[apart][first]].tolist(), nodes[y[apart][first]].tolist())
-    return links
-
-
-def _probes(classes: DataFrame, segments) -> DataFrame:
-    """Rows (segment, value, exact, id, prints): each text under its own segments and under those of their balls."""
-
-    def around(i: int, word: int, first: int, bits: int, ball: int):
+    def entry(i: int, word: int, first: int, bits: int, low: int, length: int, _: bool) -> Column:
         own = F.shiftrightunsigned(f"p{word}", first).bitwiseAND(F.lit((1 << bits) - 1))
-        flips = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << k for k in range(bits)]][: 1 + bits * ball]])
-        return F.transform(flips, lambda m: F.struct(F.lit(i).alias("segment"), own.bitwiseXOR(m).alias("value"), (m == 0).alias("exact")))
-
-    parts = [around(i, *segment) for i, segment in enumerate(segments)]
-    return classes.select("*", F.explode(F.concat(*parts)).alias("s")).select("s.segment", "s.value", "s.exact", *classes.columns)
-
-
-def links(classes: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS, segments=SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links that join the same components as all pairs of ``classes`` (id, p0, p1, ...) that meet in a bucket and are within the radius."""
-    prints = [c for c in classes.columns if c != "id"]
-    probes = _probes(classes, segments)
-    hot = probes.groupBy("segment", "value").agg(F.count("*").alias("n"), F.count_if("exact").alias("m")).where(F.col("n") > bucket_rows).where("m > 0")
-    hot = hot.select(F.col("segment").alias("s"), F.col("value").alias("v"), (F.floor((F.col("n") - 1) / bucket_rows) + 1).cast("int").alias("parts"))
-    # Every probe block of a large bucket meets every table block; nearly all buckets are one block, where a table row is its own probe.
-    live = probes.join(checked_broadcast(hot, 32), (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")), "left")
-    live = live.withColumn("blocks", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_probe = F.transform(every, lambda t: F.struct(F.col("own").alias("i"), t.alias("j"), F.lit(False).alias("table")))
-    as_table = F.transform(every, lambda t: F.struct(t.alias("i"), F.col("own").alias("j"), F.lit(True).alias("table")))
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("exact").alias("table")))
-    roles = F.when(F.col("blocks") == 1, alone).when(F.col("exact"), F.concat(as_probe, as_table)).otherwise(as_probe)
-    dealt = live.select("segment", "value", "blocks", "id", *prints, F.explode(roles).alias("r")).select("segment", "value", "r.i", "r.j", "blocks", "r.table", "id", *prints)
-    group = ["segment", "value", "i", "j"]
-    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "table", "id")
+        hole = ((1 << length) - 1) << low
+        piece = F.shiftrightunsigned(own.bitwiseAND(F.lit(hole)), low).cast("int")
+        return F.struct(own.bitwiseAND(F.lit(((1 << bits) - 1) & ~hole)).bitwiseOR(F.lit(i << 48)).alias("bucket"), piece.alias("piece"))
+
+    rows = classes.select("*", F.explode(F.array(*[entry(i, *t) for i, t in enumerate(tables(how))])).alias("s"))
+    return rows.select("s.bucket", "s.piece", *classes.columns)
+
+
+def matches(piece, group, flips, equal: bool):
+    """Pairs of positions (x, y) in one ``group`` each (ascending array) whose ``piece`` differ in one of the bits ``flips``, or are equal if ``equal``; in parts of bounded size."""
+    import numpy as np
+
+    code = (group << 32) | piece
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    for flip in [0] * equal + list(flips):
+        if flip:
+            probes = np.flatnonzero(code & flip == 0)  # the other end of a pair has the bit
+            low = np.searchsorted(code, code[probes] | flip, "left")
+            many = np.searchsorted(code, code[probes] | flip, "right") - low
+        else:
+            probes = np.arange(len(code))
+            low = probes + 1
+            many = np.searchsorted(code, code, "right") - low
+        live = np.flatnonzero(many)
+        probes, low, many = probes[live], low[live], many[live]
+        work, at = np.cumsum(many), 0
+        while at < len(probes):
+            upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 500_000, "right")))
+            n = many[at:upto]
+            x = np.repeat(probes[at:upto], n)
+            y = np.repeat(low[at:upto] - np.cumsum(n) + n, n) + np.arange(len(x))
+            yield order[x], order[y]
+            at = upto
+
+
+def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links that join the same components as all pairs of ``classes`` (id, p0, p1, ...) that meet in a bucket and are within the radius.
+
+    Each task sends a forest of the links that it finds, at most one link less than it has texts with links.
+    """
+    prints = [f"p{k}" for k in range(how.prints)]
+    rows = _buckets(classes.select("id", *prints), how)
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    hot = scratch.table(hot.select(F.col("bucket").alias("h"), F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "hot")
+    # A row of a large bucket lies in one block of it, and meets every block: in the pair of blocks, the smaller first.
+    live = rows.join(checked_broadcast(hot, 32), F.col("bucket") == F.col("h"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    live = live.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least("own", t).alias("i"), F.greatest("own", t).alias("j")))
+    dealt = live.select("bucket", "piece", "own", F.explode(pairs).alias("r"), "id", *prints).select("bucket", "r.i", "r.j", "own", "piece", "id", *prints)
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    known, radius = tables(how), how.radius
 
     def find(batches):
         import numpy as np
         import pyarrow as pa
 
+        held: list = []
+        size = 0
+
+        def reduced():
+            a, b, d = (np.concatenate([h[k] for h in held]) for k in range(3))
+            at = forest(a, b, d)
+            return [(a[at], b[at], d[at])]
+
         def solve(cols):
-            segment, value, i, j, blocks, table, ids = cols[:7]
-            p = np.stack([c.view(np.uint64) for c in cols[7:]], axis=1)
-            change = np.flatnonzero((np.diff(segment) != 0) | (np.diff(value) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            begins, ends = np.concatenate([[0], change]), np.concatenate([change, [len(ids)]])
-            tables = np.concatenate([[0], np.cumsum(table)])
-            n_table = tables[ends] - tables[begins]
-            size = ends - begins
-            out = []
-            small = (n_table > 0) & (size > 1) & (size * n_table <= 4096)
-            # Small groups together: every row against each table row, which stand last.
-            chosen, at = np.flatnonzero(small), 0
-            work = np.cumsum(size[small] * n_table[small])
-            while at < len(chosen):
-                upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 1_000_000)))
-                g = chosen[at:upto]
-                at, b, e, t = upto, begins[g], ends[g], n_table[g]
-                n = (e - b) * t
-                rows = np.repeat(np.arange(len(b)), n)
-                k = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                x, y = b[rows] + k // t[rows], e[rows] - 1 - k % t[rows]
-                near = (ids[x] != ids[y]) & (distances(p[x], p[y]) <= radius)
-                x, y = ids[x[near]], ids[y[near]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            for k in np.flatnonzero((n_table > 0) & (size > 1) & ~small):
-                b, split, e = begins[k], ends[k] - n_table[k], ends[k]
-                stop = e if blocks[b] == 1 else split
-                found = forest(ids[b:stop], ids[split:e], p[b:stop], p[split:e], radius)
-                out.append(np.array(found, dtype=np.int64).reshape(-1, 2))
-            both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        held = None
+            nonlocal held, size
+            bucket, i, j, own, piece, ids = (c.astype(np.int64, copy=False) for c in cols[:6])
+            p = np.stack([c.view(np.uint64) for c in cols[6:]], axis=1)
+            group = np.cumsum(np.concatenate([[False], (np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
+            table = bucket >> 48
+            for t in np.unique(table).tolist():
+                lo, hi = np.searchsorted(table, t), np.searchsorted(table, t, "right")
+                for x, y in matches(piece[lo:hi], group[lo:hi], [1 << k for k in range(known[t][4])], known[t][5]):
+                    x, y = x + lo, y + lo
+                    apart = (i[x] == j[x]) | (own[x] != own[y])  # rows of one block meet in its own pair
+                    distance = np.bitwise_count(p[x] ^ p[y]).sum(axis=1, dtype=np.int16)
+                    near = np.flatnonzero(apart & (distance <= radius))
+                    if len(near):
+                        x, y = ids[x[near]], ids[y[near]]
+                        held.append((np.minimum(x, y), np.maximum(x, y), distance[near]))
+                        size += len(near)
+                        if size > HELD:
+                            held = reduced()
+                            size = len(held[0][0])
+                            if size > SENT:
+                                yield sent()
+
+        def sent():
+            nonlocal held, size
+            a, b, _ = reduced()[0] if held else (np.zeros(0, dtype=np.int64),) * 3
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        rest = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7 + len(prints))]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            if rest is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(rest, cols)]
             if not len(cols[0]):
                 continue
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1]) & (cols[3] == cols[3][-1])
+            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
             cut = int(np.argmax(same))  # the last group may go on in the next batch
-            held = [np.array(c[cut:]) for c in cols]
+            rest = [np.array(c[cut:]) for c in cols]
             if cut:
-                yield solve([np.ascontiguousarray(c[:cut]) for c in cols])
-        if held is not None:
-            yield solve([np.ascontiguousarray(c) for c in held])
+                yield from solve([np.ascontiguousarray(c[:cut]) for c in cols])
+        if rest is not None:
+            yield from solve(rest)
+        yield sent()
 
     return scratch.table(dealt.mapInArrow(find, "a long, b long").distinct(), "links")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) for all nodes of ``edges`` (a, b): the smallest node that each reaches.
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """For each of ``docs`` (doc_id, text): doc_id, its fingerprint p0, component_id (the smallest doc_id that links of at most ``RADIUS`` bits reach, itself included).
 
-    In each round a node's label becomes the smallest label among its own and its neighbours', the node that it named as label
-    takes over that label too, and labels jump to their label's label. Rounds grow with the logarithm of the longest chain.
-    """
-    both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "both")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels0")
-    for k in range(1, MOST_ROUNDS):
-        told = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
-        low = labels.union(told).groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("old"))
-        # ``old`` is the node's own label or a neighbour's: roots of the larger trees hear of the smaller label.
-        hooks = low.where("old > label").select(F.col("old").alias("node"), "label")
-        low = low.select("node", "label").union(hooks).groupBy("node").agg(F.min("label").alias("label"))
-        low = scratch.table(low, f"low{k}")
-        up = low.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        new = low.join(up, F.col("label") == F.col("n")).select("node", F.least("label", "l").alias("label"))
-        new = scratch.table(new, f"labels{k}")
-        moved = new.join(labels.select(F.col("node").alias("n"), F.col("label").alias("was")), F.col("node") == F.col("n")).where("label < was").isEmpty()
-        scratch.drop(f"low{k}", f"labels{k - 1}")
-        labels = new
-        if moved:
-            return labels
-    raise RuntimeError("components didn't settle")
-
-
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, prints: int = 1, segments=SEGMENTS, radius: int = RADIUS) -> DataFrame:
-    """For each of ``docs`` (doc_id, text): doc_id, its prints p0, ..., component_id (the smallest doc_id that its prints' links reach, itself included).
-
-    Null and empty texts, and texts without words, have prints 0 and are linked like any other. Repeated rows are kept. Rows with
+    Null and empty texts, and texts without words, have fingerprint 0 and are linked like any other. Repeated rows are kept. Rows with
     a null doc_id take part, but null is no component's smallest id unless it has no other. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    names = [f"p{k}" for k in range(prints)]
-    table = scratch.table(fingerprints(docs, size, prints), "prints")
-    classes = table.groupBy(*names).agg(F.min("doc_id").alias("least"))
-    classes = scratch.table(classes.select("*", (F.col("p0") if prints == 1 else F.monotonically_increasing_id()).alias("id")), "classes")
-    labels = components(links(classes.select("id", *names), scratch, BUCKET_ROWS, segments, radius), scratch)
-    known = classes.join(labels, F.col("id") == F.col("node"), "left").select(*names, "least", F.coalesce("label", "id").alias("label"))
-    least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = known.select(*[F.col(n).alias(f"_{n}") for n in names], "label").join(least, "label")
-    on = F.col("p0") == F.col("_p0")
-    for n in names[1:]:
-        on = on & (F.col(n) == F.col(f"_{n}"))
-    return table.join(named, on).select("doc_id", *names, "component_id")
-
-
-def alike(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int, least: float, name: str) -> DataFrame:
+    table = scratch.table(fingerprints(docs, size), "prints")
+    classes = scratch.table(table.groupBy("p0").agg(F.min("doc_id").alias("least")), "classes")
+    labels = components(links(classes.select(F.col("p0").alias("id"), "p0"), scratch), scratch)
+    known = classes.join(labels, F.xxhash64("p0") == F.col("node")).select("p0", "least", "label")
+    known = scratch.table(known, "known")
+    # Only fingerprints with links need their component's smallest id; all others have their own.
+    least = scratch.table(known.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    linked = scratch.table(spread_join(known.select("p0", "label"), least, "label").select("p0", "component_id"), "linked")
+    named = classes.join(linked.withColumnRenamed("p0", "p"), F.col("p0") == F.col("p"), "left").select("p0", F.coalesce("component_id", "least").alias("component_id"))
+    return spread_join(table, scratch.table(named, "named"), "p0").select("doc_id", "p0", "component_id")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """Of ``pairs`` (a, b) those whose ``texts`` (id, text) have shingle sets of Jaccard similarity ``least`` or more."""
 
     @F.pandas_udf("boolean")
@@ -283,96 +291,13 @@ def alike(pairs: DataFrame, texts: DataFrame, scratch: Scratch, size: int, least
 
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     rows = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    return scratch.table(rows.where(close("left", "right")).select("a", "b"), name)
-
-
-def sharing(texts: DataFrame, scratch: Scratch, size: int, least: float) -> DataFrame:
-    """(a, b): pairs of ``texts`` (id, part, text) of different parts; all whose shingle sets have Jaccard similarity ``least`` or more are among them.
-
-    Such sets share ``least`` of either's shingles. So, in whatever order of all shingles, they share one of those that come first in each, as
-    many as may be missing and one more; and neither is smaller than ``least`` of the other. The order puts shingles that a sample
-    finds in many texts last, and else goes by hash: the sample speeds the search up and loses nothing.
-    """
-    import numpy as np
-
-    @F.pandas_udf("array<long>")
-    def every(texts):
-        import pandas as pd
-
-        return pd.Series([np.unique(shingles(t, size)).view(np.int64) for t in texts])
+    return rows.where(close("left", "right")).select("a", "b")
 
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode(every("text")).alias("hash"))
-    hot = sample.groupBy("hash").count().where("count > 3").orderBy(F.desc("count"), "hash").limit(1 << 15).collect()
-    hot.sort(key=lambda r: r["hash"] % (1 << 64))
-    common = np.array([r["hash"] for r in hot], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in hot], dtype=np.int64)
-    told = texts.sparkSession.sparkContext.broadcast(common)
 
-    @F.pandas_udf("n int, first array<long>")
-    def prefix(texts):
-        import pandas as pd
-
-        forget()
-        known, counts = told.value
-        rows = []
-        for t in texts:
-            x = np.unique(shingles(t, size))
-            most = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
-            if len(known) and len(x):
-                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                x = x[np.argsort(np.where(known[at] == x, counts[at], 0), kind="stable")]
-            rows.append((len(x), x[:most].view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "first"])
-
-    firsts = texts.select("id", "part", prefix("text").alias("p")).select(F.explode("p.first").alias("hash"), "p.n", "id", "part")
-    dealt = firsts.repartition("hash").sortWithinPartitions("hash", "n", "id")
-
-    def pair(batches):
-        import pyarrow as pa
-
-        def solve(cols):
-            hashes, n, ids, part = cols
-            run = np.cumsum(np.concatenate([[0], np.diff(hashes) != 0])) << 32
-            upto = np.searchsorted(run + n, run + np.floor(n / least + 1e-9).astype(np.int64), "right")
-            work = np.cumsum(upto - np.arange(len(n)) - 1)
-            at = 0
-            while at < len(n):
-                end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 1_000_000)))
-                many = upto[at:end] - np.arange(at, min(end, len(n))) - 1
-                x = np.repeat(np.arange(at, at + len(many)), many)
-                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
-                at = end
-                differ = part[x] != part[y]
-                x, y = ids[x[differ]], ids[y[differ]]
-                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        held = None
-        for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.argmax(cols[0] == cols[0][-1]))  # the last shingle may go on in the next batch
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield from solve([c[:cut] for c in cols])
-        if held is not None:
-            yield from solve(held)
-
-    return scratch.table(dealt.mapInArrow(pair, "a long, b long").distinct(), "sharing")
-
-
-def near_copies(docs: DataFrame, size: int, prints: int, segments, radius: int, least: float) -> DataFrame:
-    """For each of ``docs`` (doc_id, text), whose ids are distinct: doc_id, component_id (the smallest doc_id that links of near copies reach).
-
-    Near copies have word shingles of Jaccard similarity ``least`` or more, compared exactly. Texts of equal shingle sets are one class.
-    SimHash tables give links of few differing bits as spanning forests, so that a group of near copies isn't expanded into
-    all pairs; then all other candidates that these links, compared, don't join are compared too.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-copies")
-    names = [f"p{k}" for k in range(prints)]
+def near_classes(docs: DataFrame, scratch: Scratch, size: int, least: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (id, first, text), whose ids are distinct: (id, digest) and (digest, first, label): classes of equal shingle sets, their least ``first`` and group."""
+    how = layout(docs.count(), least, recall)
+    names = [f"p{k}" for k in range(how.prints)]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names) + ", digest binary")
     def of(texts):
@@ -385,42 +310,48 @@ def near_copies(docs: DataFrame, size: int, prints: int, segments, radius: int,
         rows, digests = [], []
         for t in texts:
             hashes = np.unique(shingles(t, size))  # votes of the set, so that repeats of a shingle don't part near copies
-            rows.append(votes(hashes, prints))
+            rows.append(votes(hashes, how.prints))
             digests.append(hashlib.sha256(hashes.tobytes()).digest()[:16])
-        out = pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, prints).view(np.int64), columns=names)
+        out = pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, how.prints).view(np.int64), columns=names)
         return out.assign(digest=digests)
 
-    table = scratch.table(need(docs, "doc_id", "text").select("doc_id", of(F.col("text")).alias("p")).select("doc_id", "p.*"), "prints")
-    classes = scratch.table(table.groupBy("digest", *names).agg(F.min("doc_id").alias("id")), "classes")
-    texts = need(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi")
-    near = links(classes.select("id", *names), Scratch(spark, "near-links"), BUCKET_ROWS, segments, radius)
-    sure = alike(near, texts, scratch, size, least, "sure")
-    known = components(sure, Scratch(spark, "near-parts"))
-    parted = texts.join(known, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("part"), "text")
-    pairs = sharing(parted, scratch, size, least)
-    # Seven standard deviations above what texts of ``least`` 0.8 differ in: this spares comparing texts that share a passage alone.
-    left = classes.select(F.col("id").alias("a"), *[F.col(n).alias(f"a{n}") for n in names])
-    right = classes.select(F.col("id").alias("b"), *[F.col(n).alias(f"b{n}") for n in names])
-    bits = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
-    pairs = pairs.join(left, "a").join(right, "b").where(bits <= FAR).select("a", "b")
-    also = alike(scratch.table(pairs, "far"), texts, scratch, size, least, "also")
-    labels = components(sure.union(also), Scratch(spark, "near-components"))
-    told = classes.select("digest", "id").join(labels, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "id").alias("component_id"))
-    return table.join(told, F.col("digest") == F.col("d")).select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without all but one document of each component: the row of its smallest doc_id; of rows that repeat this id, one stays.
-
-    ``how``: parameters of ``near_copies`` if they tell the ``least`` similarity, else of ``near_duplicates``. All columns stay. Documents whose id is null are compared by text alone and each stay unless another row has the same fingerprint's component.
+    table = scratch.table(docs.select("id", "first", of(F.col("text")).alias("p")).select("id", "first", "p.*"), "prints")
+    prints = F.struct(*names)
+    classes = table.groupBy("digest").agg(F.min("first").alias("first"), F.min("id").alias("least"), F.min(prints).alias("p"))
+    classes = scratch.table(classes.select("digest", "first", F.col("least").alias("id"), "p.*"), "classes")
+    found = links(classes.select("id", *names), scratch, how)
+    ends = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+    texts = scratch.table(docs.select("id", "text").join(ends, "id", "left_semi"), "texts")
+    sure = scratch.table(alike(found, texts, size, least), "sure")
+    labels = components(sure, scratch)
+    told = classes.join(labels, F.xxhash64("id") == F.col("node"), "left").select("digest", "first", F.coalesce("label", F.xxhash64("id")).alias("label"))
+    return table.select("id", "digest"), scratch.table(told, "told")
+
+
+def near_copies(docs: DataFrame, size: int = SIMILAR["size"], least: float = SIMILAR["least"], recall: float = SIMILAR["recall"]) -> DataFrame:
+    """For each of ``docs`` (doc_id, text), whose ids are distinct: doc_id, component_id (the smallest doc_id that links of near copies reach).
+
+    Near copies have word shingles of Jaccard similarity ``least`` or more. SimHash tables find the candidates, ``recall`` of the
+    pairs of just this similarity; the exact similarity decides about each link of the tasks' forests. Null and empty texts, and texts without words, are
+    copies of each other. Texts of equal shingle sets are one class. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    base = need(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("first"), "text")
+    table, classes = near_classes(base, scratch, size, least, recall)
+    names = scratch.table(classes.groupBy("label").agg(F.min("first").alias("component_id")), "names")
+    named = scratch.table(spread_join(classes.select("digest", "label"), names, "label").select("digest", "component_id"), "named")
+    return spread_join(table, named, "digest").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = SIMILAR["size"], least: float = SIMILAR["least"], recall: float = SIMILAR["recall"]) -> DataFrame:
+    """``docs`` without all but one document of each group of near copies (see ``near_copies``): the row of its smallest doc_id; of rows that repeat this id, one stays.
+
+    All columns stay. Rows whose id is null are compared by text alone, and stay where their group has no other.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     own = docs.columns
-    numbered = scratch.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows")
-    find = near_copies if "least" in how else near_duplicates
-    groups = find(numbered.select(F.col("row_id").alias("doc_id"), "row.text"), **how)
-    ids = scratch.table(groups.select(F.col("doc_id").alias("r"), "component_id"), "groups")
-    ranked = ids.join(numbered.select("row_id", F.col("row.doc_id").alias("d")), F.col("r") == F.col("row_id"))
-    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.coalesce("d", F.lit((1 << 63) - 1)).alias("d"), F.col("row_id"))).alias("first"))
-    stay = first.select(F.col("first.row_id").alias("keep"))
-    return numbered.join(stay, F.col("row_id") == F.col("keep"), "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in own])
+    rows = scratch.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows")
+    first = F.struct(F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("row_id").alias("row_id"))
+    _, classes = near_classes(rows.select(F.col("row_id").alias("id"), first.alias("first"), F.col("row.text").alias("text")), scratch, size, least, recall)
+    stay = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row_id").alias("keep"))
+    return rows.join(stay, F.col("row_id") == F.col("keep"), "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in own])

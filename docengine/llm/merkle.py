@@ -1,45 +1,55 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and segments, in SQL functions only.
 
 The whole text is cut without loss: sections end with blank lines, paragraphs with line ends, and leaves are
-segments of a paragraph that end with a sentence or after 4 words. A node's hash is the SHA-256 of its children's;
-the fingerprint is the root in hex. So equal texts, and only these, have equal fingerprints, and where roots
-differ, differing sections, paragraphs and leaves locate the edits.
+segments of a paragraph that end with a sentence or after 4 words. A leaf's hash is the SHA-256 of "leaf:" and its text, the hash of a
+paragraph, a section and the root that of "node:" and its children's hashes; the fingerprint is the root in hex. So equal
+texts, and only these, have equal fingerprints, and where roots differ, differing branches locate the edits.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, need
+from ._common import Scratch, checked_broadcast, need
 
 #: Fixed values of the format: they cover any text, each match is one node.
 SECTION = r"(?s).+?(?:\n[ \t\r]*(?=\n)(?:\s*\n)?|\z)"
 PARAGRAPH = r"[^\n]*\n|[^\n]+\z"
 LEAF = r"(?:\S++(?<![.!?])[^\S\n]++){0,3}\S++\s*+|\s++"
 
-BUCKET_ROWS = 20_000
-MOST_BUCKETS = 1 << 16
+BUCKET_ROWS = 4000
+
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, even where ``use`` names it often or in a lambda."""
+    return F.transform(F.array(value), use)[0]
 
-def _sha(parts: Column) -> Column:
-    return F.unhex(F.sha2(F.array_join(F.transform(parts, lambda x: F.hex(x)), ""), 256))
+
+def _node(children: Column) -> Column:
+    return F.sha2(F.concat(F.lit("node:"), F.array_join(children, "")), 256)
 
 
 def tree(text: Column) -> Column:
     """struct<root: string, sections: array<struct<hash, paragraphs: array<struct<hash, leaves: array<bigint>>>>>>.
 
-    Leaves are 64-bit hashes of their text; the hash of a paragraph is the SHA-256 of its whole text.
+    Hashes are hex; ``leaves`` are the leaves' hashes, each shortened to 64 bits.
     """
-    paragraphs = lambda s: F.transform(
-        F.regexp_extract_all(s, F.lit(PARAGRAPH), 0),
-        lambda p: F.struct(F.sha2(p, 256).alias("hash"), F.transform(F.regexp_extract_all(p, F.lit(LEAF), 0), lambda x: F.xxhash64(x)).alias("leaves")),
+    leaf = lambda x: F.sha2(F.concat(F.lit("leaf:"), x), 256)
+    paragraph = lambda p: _once(
+        F.transform(F.regexp_extract_all(p, F.lit(LEAF), 0), leaf),
+        lambda hashes: F.struct(_node(hashes).alias("hash"), F.transform(hashes, lambda h: F.xxhash64(h)).alias("leaves")),
+    )
+    section = lambda s: _once(
+        F.transform(F.regexp_extract_all(s, F.lit(PARAGRAPH), 0), paragraph),
+        lambda paragraphs: F.struct(_node(paragraphs["hash"]).alias("hash"), paragraphs.alias("paragraphs")),
     )
-    sections = F.transform(
-        F.regexp_extract_all(text, F.lit(SECTION), 0),
-        lambda s: F.transform(F.array(paragraphs(s)), lambda p: F.struct(F.sha2(F.array_join(p["hash"], ""), 256).alias("hash"), p.alias("paragraphs")))[0],
+    return _once(
+        F.transform(F.regexp_extract_all(text, F.lit(SECTION), 0), section),
+        lambda sections: F.struct(_node(sections["hash"]).alias("root"), sections.alias("sections")),
     )
-    return F.transform(F.array(sections), lambda s: F.struct(F.sha2(F.array_join(s["hash"], ""), 256).alias("root"), s.alias("sections")))[0]
 
 
 def leaves(node: Column) -> Column:
@@ -48,24 +58,29 @@ def leaves(node: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column:
-    """1 where roots are equal, else the Dice coefficient of the distinct leaves (0 where both have none)."""
+    """1 where roots are equal, else the Dice coefficient of the trees' distinct leaves (0 where both have none)."""
     total = F.size(a_leaves) + F.size(b_leaves)
     share = 2.0 * F.size(F.array_intersect(a_leaves, b_leaves)) / total
-    return F.when(a["root"] == b["root"], F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(share)
+    return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(share)
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Indexes (from 0) of the sections and paragraphs of ``a`` whose hashes ``b`` doesn't have: array<struct<section, paragraph>>."""
-    known = F.transform(b["sections"], lambda s: s["hash"])
-    inner = F.flatten(F.transform(b["sections"], lambda s: F.transform(s["paragraphs"], lambda p: p["hash"])))
-    places = F.transform(
-        a["sections"],
-        lambda s, i: F.when(
-            ~F.array_contains(known, s["hash"]),
-            F.filter(F.transform(s["paragraphs"], lambda p, j: F.when(~F.array_contains(inner, p["hash"]), F.struct(i.alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull()),
-        ),
-    )
-    return F.flatten(F.filter(places, lambda x: x.isNotNull()))
+    """Places (indexes from 0) of the paragraphs of ``a`` that differ from those of ``b``: array<struct<section, paragraph>>.
+
+    A paragraph is the same if its hash is that of the paragraph at its place, counted from the start or from the end: so what stands
+    before the first and after the last edit is told, in time in proportion to the paragraphs. Where roots are equal there are none.
+    """
+    places = F.flatten(F.transform(a["sections"], lambda s, i: F.transform(s["paragraphs"], lambda p, j: F.struct(p["hash"].alias("hash"), i.alias("section"), j.alias("paragraph")))))
+    known = F.flatten(F.transform(b["sections"], lambda s: F.transform(s["paragraphs"], lambda p: p["hash"])))
+
+    def differing(z: Column) -> Column:
+        shift = F.size(z["known"]) - F.size(z["places"])
+        same = lambda x, at: F.coalesce(x["hash"] == F.get(z["known"], at), F.lit(False))
+        left = F.filter(z["places"], lambda x, k: ~(same(x, k) | same(x, k + shift)))
+        return F.transform(left, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph")))
+
+    found = _once(F.struct(places.alias("places"), known.alias("known")), differing)
+    return F.when(a["root"] == b["root"], F.slice(found, 1, 0)).otherwise(found)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -74,38 +89,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return base.withColumn("tree", tree(F.col("text"))).withColumn("fingerprint", F.col("tree.root"))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` (doc_id, text) with ``next_text``, the text of the next row by (doc_id, text); the first one's after the last.
+def bucket_of(key: Column, cuts: list) -> Column:
+    """The number of ascending ``cuts`` below ``key``, by way of a coarse list of them; -1 for null."""
+    if not cuts:
+        return F.when(key.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("int")
+    width = max(1, isqrt(len(cuts)))
+    below = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + (key > x).cast("int"))
+    first = F.greatest(F.lit(0), below(F.lit(cuts[::width])) - 1) * width
+    return F.when(key.isNull(), F.lit(-1)).otherwise(first + below(F.slice(F.lit(cuts), first + 1, F.lit(width)))).cast("int")
+
 
-    Rows are dealt into ranges of doc_id by approximate quantiles; each range also gets the first row of the next one,
-    so no task sees more than a range. Null ids come first; a table of one row is its own successor.
+def with_next(docs: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``docs`` (doc_id, text) with ``own`` (struct<tree, leaves>) and ``next`` (struct<text, root, leaves>), of the next row by (doc_id, text); the first one's after the last.
+
+    Rows are dealt into ranges of doc_id by approximate quantiles. A range has ``bucket_rows`` rows, or the square root of all where that is more, so that
+    neither a range nor the list of cuts grows with all rows. Each range also gets the first row of the next one,
+    so no task sees more than its ranges. Trees are made before the rows move. Null ids come first; a table of one row is its own successor.
     """
-    spark = docs.sparkSession
     base = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rows = base.count()
-    n = max(1, min(MOST_BUCKETS, rows // bucket_rows))
-    cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("x")).first()["x"] or []
+    n = max(1, rows // max(bucket_rows, isqrt(rows)))
+    cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 8 * n)).alias("x")).first()["x"] or []
     cuts = sorted(set(cuts)) if n > 1 else []
-    width = max(1, int(len(cuts) ** 0.5))
-    tops = cuts[::width]
     key = F.col("doc_id")
-    if cuts:  # two steps: the block of cuts, then the cut in it
-        block = F.aggregate(F.lit(tops), F.lit(0), lambda acc, x: acc + (key > x).cast("int"))
-        part = F.slice(F.lit(cuts), F.greatest(F.lit(0), block - 1) * width + 1, F.lit(width))
-        place = F.greatest(F.lit(0), block - 1) * width + F.aggregate(part, F.lit(0), lambda acc, x: acc + (key > x).cast("int"))
-    else:
-        place = F.lit(0)
-    placed = base.withColumn("bucket", F.when(key.isNull(), F.lit(-1)).otherwise(place).cast("int"))
-    # One row for each range: its first row by (doc_id, text), which goes to the range before it as a guard.
-    placed = placed.withColumn("k", F.coalesce(key, F.lit(-(1 << 63))))
-    least = placed.groupBy(F.col("bucket").alias("b")).agg(F.min("k").alias("least"))
-    firsts = placed.join(checked_broadcast(least, 32), (F.col("bucket") == F.col("b")) & (F.col("k") == F.col("least")))
-    firsts = firsts.groupBy("bucket").agg(F.min("text").alias("text"))
-    ring = Window.orderBy("bucket")
-    guards = firsts.select(F.coalesce(F.lag("bucket").over(ring), F.max("bucket").over(Window.partitionBy())).alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("guard"))
+    placed = base.withColumn("bucket", bucket_of(key, cuts)).withColumn("k", F.coalesce(key, F.lit(-(1 << 63))))
+    # The first row of each range by (doc_id, text) goes to the range before it as a guard.
+    least = scratch.table(placed.groupBy(F.col("bucket").alias("b")).agg(F.min("k").alias("least")), "least")
+    ring = Window.orderBy("b")  # bucket numbers alone
+    before = F.coalesce(F.lag("b").over(ring), F.max("b").over(Window.partitionBy()))
+    told = scratch.table(least.select("b", "least", before.alias("before")), "ring")
+    firsts = placed.join(checked_broadcast(told, 32), (F.col("bucket") == F.col("b")) & (F.col("k") == F.col("least")))
+    firsts = firsts.groupBy("before").agg(F.min("text").alias("text"))
+    guards = firsts.select(F.col("before").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("guard"))
     both = placed.select("bucket", "doc_id", "text", F.lit(False).alias("guard")).unionByName(guards)
+    own = _once(tree(F.col("text")), lambda t: F.struct(t.alias("tree"), leaves(t).alias("leaves")))
     order = Window.partitionBy("bucket").orderBy(F.col("guard"), F.col("doc_id").asc_nulls_first(), F.col("text"))
-    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("guard")).select("doc_id", "text", "next_text")
+    following = F.lead(F.struct("text", F.col("own.tree.root").alias("root"), F.col("own.leaves").alias("leaves"))).over(order)
+    return both.withColumn("own", own).repartition("bucket").withColumn("next", following).where(~F.col("guard")).select("doc_id", "text", "own", "next")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -116,14 +136,19 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all ``docs``, of their edited texts, and their likeness to these and to the next document."""
-    pairs = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    trees = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited_text")).alias("b"), tree(F.col("next_text")).alias("c"))
-    full = trees.withColumns({f"{x}_leaves": leaves(F.col(x)) for x in "abc"})
-    return full.select(
-        "doc_id", "n_chars", "edited_sha256",
-        F.col("a.root").alias("fingerprint"), F.col("b.root").alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b"), F.col("a_leaves"), F.col("b_leaves")).alias("near_edited"),
-        likeness(F.col("a"), F.col("c"), F.col("a_leaves"), F.col("c_leaves")).alias("near_next"),
-        edits(F.col("b"), F.col("a")).alias("edited_paragraphs"),
+    """Fingerprints of all ``docs`` (doc_id, text), of their edited texts, and their likeness to these and to the next document.
+
+    Null text counts as empty: its tree has no sections, and it is like another empty text (1) and no other (0). Texts of any length are one tree. Rows
+    that repeat an id follow each other by text; equal rows have likeness 1. A null id comes first. An empty table gives no rows. Further columns are ignored.
+    """
+    pairs = with_next(docs, Scratch(docs.sparkSession, "merkle"))
+    new = _once(edited(F.col("text"), F.col("next.text")), lambda t: F.struct(F.sha2(t, 256).alias("sha256"), _once(tree(t), lambda x: F.struct(x.alias("tree"), leaves(x).alias("leaves"))).alias("own")))
+    rows = pairs.withColumn("new", new)
+    own, changed, following = F.col("own"), F.col("new.own"), F.col("next")
+    result = F.struct(
+        F.col("new.sha256").alias("edited_sha256"), own["tree"]["root"].alias("fingerprint"), changed["tree"]["root"].alias("edited_fingerprint"),
+        likeness(own["tree"]["root"], changed["tree"]["root"], own["leaves"], changed["leaves"]).alias("near_edited"),
+        likeness(own["tree"]["root"], following["root"], own["leaves"], following["leaves"]).alias("near_next"),
+        edits(changed["tree"], own["tree"]).alias("edited_paragraphs"),
     )
+    return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), result.alias("r")).select("doc_id", "n_chars", "r.*")

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-Sources' documents lie in a keyed shuffled order and are cut into blocks of equally many words. Slot i of the schedule
-takes the point frac(i * golden ratio); the cumulative weights tell its source; slots are ranked within each source, and
-the r-th slot takes the source's r-th block, from the start again after the last. So each prefix of the mix is near its
-target weights. Counts, ranks and running sums are made within hash ranges of bounded size, so that a source of any size
-is spread over the cluster.
+Sources' documents lie in a keyed shuffled order, which is repeated and cut into blocks of equally many words. Slot i of the
+schedule takes the point frac(i * golden ratio); the cumulative targets tell its source; slots are ranked within each source, and
+the r-th slot takes the source's r-th block. So what a source gives, and when, follows from the points alone, and each prefix of the mix is
+near its target weights. Points are integers modulo 2^31, so that they are exact and spread evenly over any number of slots.
+Counts, ranks and running sums are made within ranges of bounded size, so that a source of any size is spread over the cluster.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from ._common import Scratch, checked_broadcast, need
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
-BLOCK_WORDS = 256
-RANGE_ROWS = 4096
+BLOCK_WORDS = 32
+RANGE_ROWS = 1 << 14
+SLOT_RANGE = 1 << 16
 CELLS = 4096
-GOLDEN = 0.6180339887498949
+#: Points are multiples of 1 / CIRCLE; GOLDEN is the odd integer next to CIRCLE times the golden ratio.
+CIRCLE, GOLDEN = 1 << 31, 1327217885
 
 
 def words(text: Column) -> Column:
@@ -56,8 +58,8 @@ def hash_ranges(rows: int) -> int:
 
 
 def ordered(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` (doc_id, source, size) with ``begin``: words before the document in its source's shuffled order, by MD5 of key and id."""
-    digest = F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    """``docs`` (doc_id, source, size, and others) with ``begin``: words before the document in its source's shuffled order, by MD5 of key, id and size."""
+    digest = F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string")))
     ranges = hash_ranges(docs.count())
     base = docs.withColumn("digest", digest).withColumn("range", (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * ranges / (1 << 32)).cast("long"))
     sums = base.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -65,78 +67,86 @@ def ordered(docs: DataFrame, key: str) -> DataFrame:
     inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = base.withColumn("inside", inside)
     joined = placed.join(sums, placed["source"].eqNullSafe(sums["s"]) & (placed["range"] == sums["g"]))
-    return joined.select("doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("begin"))
+    return joined.select(*docs.columns, (F.col("base") + F.col("inside")).alias("begin"))
 
 
 def schedule(spark: SparkSession, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Slots of the mix: slot, n (the source's number), rank (from 0 in the source), for ``plan`` (n, target).
 
-    ``plan`` has ``need``, the slots that a source takes. Points of surplus slots of a source go unused; slots that
-    a source still lacks after the last point follow at the end.
+    There are as many slots as blocks of the summed targets, rounded; without any, the schedule is empty.
     """
-    total = plan.agg(F.sum("need").alias("x")).first()["x"] or 0
+    total = plan.agg(F.sum("target").alias("x")).first()["x"] or 0.0
     every = Window.partitionBy()
-    upto = F.try_divide(F.sum("target").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), F.sum("target").over(every))
-    spans = plan.where("need > 0").withColumn("high", upto).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("n")), F.lit(0.0)))
+    upto = F.try_divide(F.sum("target").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), F.sum("target").over(every)) * CIRCLE
+    spans = plan.where("target > 0").withColumn("high", upto).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("n")), F.lit(0.0)))
     last = F.row_number().over(Window.orderBy(F.desc("n"))) == 1
-    spans = spans.withColumn("high", F.when(last, F.lit(2.0)).otherwise(F.col("high")))
-    cells = spans.select("n", "need", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.least(F.col("high"), F.lit(1.0)) * CELLS))).alias("cell"))
-    points = spark.range(total).withColumn("point", F.col("id") * F.lit(GOLDEN))
-    points = points.select("id", (F.col("point") - F.floor("point")).alias("point")).withColumn("cell", F.floor(F.col("point") * CELLS))
+    spans = spans.withColumn("high", F.when(last, F.lit(2.0 * CIRCLE)).otherwise(F.col("high")))
+    cell = CIRCLE // CELLS
+    cells = spans.select("n", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor(F.least(F.col("high"), F.lit(CIRCLE - 1.0)) / cell))).alias("cell"))
+    points = spark.range(int(total / block_words + 0.5)).withColumn("point", F.col("id") % CIRCLE * GOLDEN % CIRCLE)
+    points = points.withColumn("cell", F.floor(F.col("point") / cell))
     slots = points.join(checked_broadcast(cells, 64), "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    slots = slots.select(F.col("id").alias("slot"), "n", "need", F.floor(F.col("id") / RANGE_ROWS).alias("range"))
+    slots = slots.select(F.col("id").alias("slot"), "n", F.floor(F.col("id") / SLOT_RANGE).alias("range"))
     counts = slots.groupBy("n", "range").agg(F.count("*").alias("k"))
     bases = counts.select(F.col("n").alias("m"), F.col("range").alias("g"), (F.sum("k").over(Window.partitionBy("n").orderBy("range")) - F.col("k")).alias("base"))
     inside = F.row_number().over(Window.partitionBy("n", "range").orderBy("slot")) - 1
     ranked = slots.withColumn("inside", inside).join(bases, (F.col("n") == F.col("m")) & (F.col("range") == F.col("g")))
-    ranked = ranked.select("slot", "n", (F.col("base") + F.col("inside")).alias("rank"), "need").where("rank < need").drop("need")
-    got = counts.groupBy("n").agg(F.sum("k").alias("got"))
-    short = plan.join(got.withColumnRenamed("n", "m"), F.col("n") == F.col("m"), "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    tail = short.select(F.lit(total).cast("long").alias("slot"), "n", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
-    return ranked.unionByName(tail)
+    return ranked.select("slot", "n", (F.col("base") + F.col("inside")).alias("rank"))
+
+
+def rounds(docs: DataFrame, scratch: Scratch, key: str, block_words: int, *carried: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For ``docs`` (doc_id, text, source): their places (doc_id, size, n, begin, and the columns ``carried``), what each round takes of them (n, begin, round, taken, slot), and the sources (source, source_size, n, target).
+
+    ``slot`` is the first that takes words of the document in the round. (n, begin) tells documents with words apart.
+    """
+    spark = docs.sparkSession
+    sized = need(docs, "doc_id", "text", "source", *carried).select("doc_id", "source", words(F.col("text")).alias("size"), *carried)
+    sized = scratch.table(sized, "sized")
+    plan = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "plan")
+    slots = schedule(spark, plan.select("n", "target"), block_words)
+    places = ordered(sized, key)
+    facts = plan.select(F.col("source").alias("s"), "n", "source_size")
+    places = places.join(checked_broadcast(facts, 64), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "n", "begin", "source_size", *carried)
+    places = scratch.table(places, "places")
+    # The source's order, repeated: a document lies there once for each round.
+    turns = places.where("size > 0").select("n", "begin", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda r: F.struct(r.alias("round"), (F.col("begin") + r * F.col("source_size")).alias("at")))).alias("t"))
+    turns = turns.select("n", "begin", "size", "t.round", "t.at")
+    pieces = turns.select("*", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))).alias("block"))
+    hits = pieces.join(slots.withColumnRenamed("n", "of"), (F.col("n") == F.col("of")) & (F.col("block") == F.col("rank")))
+    low, high = F.greatest(F.col("at"), F.col("block") * block_words), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
+    taken = hits.groupBy("n", "begin", "round").agg(F.sum(high - low).alias("taken"), F.min("slot").alias("slot"))
+    return places, taken, plan
 
 
 def mix(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each of ``docs`` (doc_id, text, source): doc_id, size, source, source_size, target (its source's), taken (words that the mix takes, repeats counted).
+    """For each of ``docs`` (doc_id, text, source): doc_id, size, source, source_size, target (its source's), taken (words that the mix takes, repeats counted), first_slot (null if not taken).
 
-    A source's last slot ends where its target (rounded down) is reached. Null text has no words and is never taken; null is a
+    A source's taken words differ from its target by as many blocks as the points are off, a few, whatever their number. No document is
+    taken more than ``MOST_REPEATS`` times: later slots of a source that has given all are empty. Null text has no words and is never taken; null is a
     source of its own; repeated rows are documents of their own; an empty table gives no rows; the key fixes the order, so reruns agree.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    sized = scratch.table(need(docs, "doc_id", "text", "source").select("doc_id", "source", words(F.col("text")).alias("size")), "sized")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    goal, blocks = F.floor("target").cast("long"), F.ceil(F.col("source_size") / block_words).cast("long")
-    whole = F.floor(F.try_divide("goal", "source_size")).cast("long")  # rounds through the source before the last
-    plan = plan.withColumn("goal", goal).withColumn("blocks", blocks).withColumn("rounds", F.coalesce(whole, F.lit(0)))
-    need_slots = F.col("rounds") * F.col("blocks") + F.ceil((F.col("goal") - F.col("rounds") * F.col("source_size")) / block_words).cast("long")
-    plan = scratch.table(plan.withColumn("need", F.coalesce(need_slots, F.lit(0))), "plan")
-    slots = schedule(spark, plan.select("n", "target", "need"), block_words)
-    known = plan.select(F.col("n").alias("m"), "source_size", "goal", "blocks")
-    slots = slots.join(checked_broadcast(known, 64), F.col("n") == F.col("m"))
-    slots = slots.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("round", F.floor(F.col("rank") / F.col("blocks")))
-    end = F.least((F.col("block") + 1) * block_words, F.col("source_size"), F.col("goal") - F.col("round") * F.col("source_size"))
-    taken_blocks = slots.select("n", "block", end.alias("end"))  # a block's words up to end
-
-    order = ordered(sized, key)
-    order = order.join(checked_broadcast(plan.select(F.col("source").alias("s"), "n"), 64), F.col("source").eqNullSafe(F.col("s")))
-    pieces = order.where("size > 0").select("doc_id", "size", "begin", "n", F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("begin") + F.col("size") - 1) / block_words))).alias("b"))
-    hits = pieces.join(taken_blocks.withColumnRenamed("n", "of"), (F.col("n") == F.col("of")) & (F.col("b") == F.col("block")))
-    low, high = F.greatest(F.col("begin"), F.col("b") * block_words), F.least(F.col("begin") + F.col("size"), F.col("end"))
-    taken = hits.groupBy(F.col("n").alias("tn"), F.col("begin").alias("tb")).agg(F.sum(F.greatest(F.lit(0), high - low)).alias("taken"))
-    # (source, begin) tells documents with words apart; those without words aren't taken.
-    rows = order.join(taken, (F.col("n") == F.col("tn")) & (F.col("begin") == F.col("tb")) & (F.col("size") > 0), "left")
-    facts = plan.select(F.col("n").alias("m"), "source_size", "target")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    places, taken, plan = rounds(docs, scratch, key, block_words)
+    sums = taken.groupBy(F.col("n").alias("tn"), F.col("begin").alias("tb")).agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"))
+    # Documents without words lie at another's beginning; they aren't taken.
+    rows = places.join(sums, (F.col("n") == F.col("tn")) & (F.col("begin") == F.col("tb")) & (F.col("size") > 0), "left").drop("source_size")
+    facts = plan.select("source", F.col("n").alias("m"), "source_size", "target")
     rows = rows.join(checked_broadcast(facts, 64), F.col("n") == F.col("m"))
-    return rows.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def repeat(docs: DataFrame, key: str = "mix") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole number. All columns stay; rows without words go."""
+def repeat(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` in the order of the mix, each row once for each round that takes half of its words or more. All columns stay; rows without words go.
+
+    Partitions are ranges of the schedule, ordered within, so reading them one after another gives the mix.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
     own = docs.columns
     rows = scratch.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows")
-    taken = mix(rows.select(F.col("row_id").alias("doc_id"), "row.text", "row.source"), key).where("taken > 0")
-    times = taken.select(F.col("doc_id").alias("r"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    both = rows.join(times, F.col("row_id") == F.col("r")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in own])
+    places, taken, _ = rounds(rows.select("row.doc_id", "row.text", "row.source", "row_id"), scratch, key, block_words, "row_id")
+    where = places.where("size > 0").select(F.col("row_id").alias("r"), "size", F.col("n").alias("pn"), F.col("begin").alias("pb"))
+    copies = taken.join(where, (F.col("n") == F.col("pn")) & (F.col("begin") == F.col("pb"))).where(2 * F.col("taken") >= F.col("size"))
+    copies = scratch.table(copies.groupBy("r").agg(F.collect_list("slot").alias("slots")), "copies")
+    both = rows.join(copies, F.col("row_id") == F.col("r")).select("row", "row_id", F.explode("slots").alias("slot"))
+    placed = both.repartitionByRange("slot", "row_id").sortWithinPartitions("slot", "row_id")
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in own])

@@ -21,6 +21,8 @@ from .tokens import encoder, text_slices
 WINDOW = 4096
 COMBINATIONS = 6000
 SWEEPS = 30
+#: Texts that a worker encodes at a time.
+SLICE_BYTES = 4 << 20
 
 TOKENIZED = "doc_id long, part int, n_tokens long, rest int, rest_rank long, full_before long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -159,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, byt
         ranks: dict[int, int] = {}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, SLICE_BYTES):
                 rows = []
                 for doc, raw in zip(ids[a:b], work.encode(texts.slice(a, b - a))):
                     n = len(raw) // 2 + 1

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, langid, merkle, mixing, packing, pii, simhash, substring, token_store, warc
 
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    rows = token_store.token_store(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0)
+    rows = token_store.token_store(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -30,7 +28,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.pack(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    rows = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -55,7 +53,7 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,16 +101,22 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l""",
     "op7_mixing": f"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM documents),
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) - 1) % 3 + 1]::DOUBLE AS weight, row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) AS n FROM s),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM w),
 v AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 f AS (SELECT level FROM v WHERE level * weight <= cap ORDER BY cap / weight, n LIMIT 1),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM f) * weight, cap)) AS target FROM v),
-o AS (SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS b FROM d)
-SELECT o.doc_id, o.size, t.source_size, t.target, (greatest(0, least(b + size, floor(target)) - b) + greatest(0, least(b + size + source_size, floor(target)) - b - source_size))::BIGINT AS taken
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+t AS (SELECT source, n, source_size, least(cap, coalesce((SELECT level FROM f) * weight, cap)) AS target FROM v),
+h AS (SELECT n, target, CASE WHEN n = max(n) OVER () THEN 4294967296.0 ELSE sum(target) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 2147483648.0 END::DOUBLE AS high FROM t WHERE target > 0),
+u AS (SELECT n, coalesce(lag(high) OVER (ORDER BY n), 0) AS low, high FROM h),
+p AS (SELECT i, (i % 2147483648 * 1327217885 % 2147483648)::DOUBLE AS point FROM range(0, (SELECT floor(coalesce(sum(target), 0) / 32 + 0.5)::BIGINT FROM t)) r(i)),
+q AS (SELECT i, n, row_number() OVER (PARTITION BY n ORDER BY i) - 1 AS rank FROM p JOIN u ON point >= low AND point < high),
+k AS (SELECT n, count(*) * 32 AS words FROM q GROUP BY n),
+o AS (SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS b FROM d),
+e AS (SELECT o.*, t.n, t.source_size, t.target, coalesce(k.words, 0) AS words FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.n = t.n)
+SELECT e.doc_id, e.size, e.source_size, e.target, (greatest(0, least(b + size, words) - b) + greatest(0, least(b + size + source_size, words) - b - source_size))::BIGINT AS taken, q.i AS first_slot
+FROM e LEFT JOIN q ON q.n = e.n AND q.rank = b // 32 AND e.size > 0""",
     "op10_substring": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
 x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),

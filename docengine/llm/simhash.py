@@ -18,7 +18,7 @@ from math import acos, ceil, log, log2, pi, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, checked_broadcast, need, spread_join
+from ._common import Scratch, checked_broadcast, need, release, spread_join
 from ._graph import components, forest
 from .tokens import forget
 
@@ -168,7 +168,7 @@ def matches(piece, group, flips, equal: bool):
         probes, low, many = probes[live], low[live], many[live]
         work, at = np.cumsum(many), 0
         while at < len(probes):
-            upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 500_000, "right")))
+            upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 100_000, "right")))
             n = many[at:upto]
             x = np.repeat(probes[at:upto], n)
             y = np.repeat(low[at:upto] - np.cumsum(n) + n, n) + np.arange(len(x))
@@ -289,8 +289,9 @@ def alike(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFr
             out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
         return pd.Series(out)
 
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    rows = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    # The same plan at every size: texts are shuffled, never broadcast.
+    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
+    rows = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
     return rows.where(close("left", "right")).select("a", "b")
 
 
@@ -320,8 +321,9 @@ def near_classes(docs: DataFrame, scratch: Scratch, size: int, least: float, rec
     classes = table.groupBy("digest").agg(F.min("first").alias("first"), F.min("id").alias("least"), F.min(prints).alias("p"))
     classes = scratch.table(classes.select("digest", "first", F.col("least").alias("id"), "p.*"), "classes")
     found = links(classes.select("id", *names), scratch, how)
-    ends = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    texts = scratch.table(docs.select("id", "text").join(ends, "id", "left_semi"), "texts")
+    ends = scratch.table(found.select(F.col("a").alias("id")).union(found.select("b")).distinct(), "ends")
+    texts = scratch.table(docs.select("id", "text").join(checked_broadcast(ends, 16), "id", "left_semi"), "texts")
+    release(docs.sparkSession)
     sure = scratch.table(alike(found, texts, size, least), "sure")
     labels = components(sure, scratch)
     told = classes.join(labels, F.xxhash64("id") == F.col("node"), "left").select("digest", "first", F.coalesce("label", F.xxhash64("id")).alias("label"))

@@ -168,13 +168,31 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 def encoder(path: str, byte_level: bool) -> Encoder:
     """One encoder per worker and file."""
     if (path, byte_level) not in _encoders:
+        give_back()
         _encoders[path, byte_level] = Encoder(path, byte_level)
     return _encoders[path, byte_level]
 
 
 def forget() -> None:
-    """Drop this worker's encoders and caches: other operators call it, since workers outlive an operator."""
-    _encoders.clear()
+    """Drop this worker's encoders and caches and give their memory back: other operators call it, since workers outlive an operator."""
+    if _encoders:
+        _encoders.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def text_slices(texts, most: int = 8 << 20):

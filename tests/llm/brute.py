@@ -8,16 +8,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import xxhash
 
-TOKENIZERS = "/opt/tokenizers"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def ids_of(name: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{TOKENIZERS}/{name}")
+    t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
@@ -131,3 +131,63 @@ def targets(sizes: dict, weights=(3, 1, 2), share: float = 1.5) -> dict:
             left -= got[s]
             free.remove(s)
     return got
+
+
+def taken(sizes: dict, target: dict, block: int) -> dict:
+    """Words that each source gives: as many blocks as points of the golden ratio fall into its part of the circle, at most twice its size."""
+    order = [s for s in sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes) if target[s] > 0]
+    total, high, edge = sum(target.values()), 0.0, []
+    for s in order:
+        high += target[s]
+        edge.append(high / total * (1 << 31))
+    got = dict.fromkeys(sizes, 0)
+    for i in range(int(total / block + 0.5)):
+        point = i * 1327217885 % (1 << 31)
+        got[order[next((k for k, e in enumerate(edge[:-1]) if point < e), len(edge) - 1)]] += block
+    return {s: min(got[s], 2 * sizes[s]) for s in sizes}
+
+
+def merkle(text: str):
+    """(root, set of leaf hashes) by walking the text word by word."""
+    import re
+
+    def sha(s: str) -> str:
+        return hashlib.sha256(s.encode()).hexdigest()
+
+    def leaf_texts(paragraph: str):
+        out, at = [], 0
+        while at < len(paragraph):
+            space = re.compile(r"\s+", re.A).match(paragraph, at)
+            if space:
+                end = space.end()
+            else:
+                end, n = at, 0
+                while True:  # up to four words; a sentence's end or a line's ends the leaf
+                    word = re.compile(r"\S+", re.A).match(paragraph, end)
+                    gap = re.compile(r"[^\S\n]+", re.A).match(paragraph, word.end())
+                    after = gap and re.compile(r"\S", re.A).match(paragraph, gap.end())
+                    n += 1
+                    if n == 4 or not after or word[0][-1] in ".!?":
+                        end = re.compile(r"\s*", re.A).match(paragraph, word.end()).end()
+                        break
+                    end = gap.end()
+            out.append(paragraph[at:end])
+            at = end
+        return out
+
+    sections, known = [], set()
+    for section in re.findall(r"(?s).+?(?:\n[ \t\r]*(?=\n)(?:\s*\n)?|\Z)", text, re.A):
+        paragraphs = []
+        for paragraph in re.findall(r"[^\n]*\n|[^\n]+\Z", section):
+            hashes = [sha("leaf:" + x) for x in leaf_texts(paragraph)]
+            known.update(hashes)
+            paragraphs.append(sha("node:" + "".join(hashes)))
+        sections.append(sha("node:" + "".join(paragraphs)))
+    return sha("node:" + "".join(sections)), known
+
+
+def alike(a, b) -> float:
+    if a[0] == b[0]:
+        return 1.0
+    total = len(a[1]) + len(b[1])
+    return 2 * len(a[1] & b[1]) / total if total else 0.0

@@ -64,22 +64,30 @@ def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column
     return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(share)
 
 
+def paragraphs(node: Column) -> Column:
+    """The tree's paragraphs in order: array<struct<hash, section, paragraph>> with indexes from 0."""
+    return F.flatten(F.transform(node["sections"], lambda s, i: F.transform(s["paragraphs"], lambda p, j: F.struct(p["hash"].alias("hash"), i.alias("section"), j.alias("paragraph")))))
+
+
+def summary(text: Column) -> Column:
+    """What comparing needs of a text's tree: struct<root, paragraphs, leaves>."""
+    return _once(tree(text), lambda t: F.struct(t["root"].alias("root"), paragraphs(t).alias("paragraphs"), leaves(t).alias("leaves")))
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Places (indexes from 0) of the paragraphs of ``a`` that differ from those of ``b``: array<struct<section, paragraph>>.
+    """Places (indexes from 0) of the paragraphs of ``a`` that differ from those of ``b`` (summaries): array<struct<section, paragraph>>.
 
     A paragraph is the same if its hash is that of the paragraph at its place, counted from the start or from the end: so what stands
     before the first and after the last edit is told, in time in proportion to the paragraphs. Where roots are equal there are none.
     """
-    places = F.flatten(F.transform(a["sections"], lambda s, i: F.transform(s["paragraphs"], lambda p, j: F.struct(p["hash"].alias("hash"), i.alias("section"), j.alias("paragraph")))))
-    known = F.flatten(F.transform(b["sections"], lambda s: F.transform(s["paragraphs"], lambda p: p["hash"])))
 
     def differing(z: Column) -> Column:
         shift = F.size(z["known"]) - F.size(z["places"])
-        same = lambda x, at: F.coalesce(x["hash"] == F.get(z["known"], at), F.lit(False))
+        same = lambda x, at: F.coalesce(x["hash"] == F.get(z["known"], at)["hash"], F.lit(False))
         left = F.filter(z["places"], lambda x, k: ~(same(x, k) | same(x, k + shift)))
         return F.transform(left, lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph")))
 
-    found = _once(F.struct(places.alias("places"), known.alias("known")), differing)
+    found = _once(F.struct(a["paragraphs"].alias("places"), b["paragraphs"].alias("known")), differing)
     return F.when(a["root"] == b["root"], F.slice(found, 1, 0)).otherwise(found)
 
 
@@ -100,7 +108,7 @@ def bucket_of(key: Column, cuts: list) -> Column:
 
 
 def with_next(docs: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` (doc_id, text) with ``own`` (struct<tree, leaves>) and ``next`` (struct<text, root, leaves>), of the next row by (doc_id, text); the first one's after the last.
+    """``docs`` (doc_id, text) with ``own`` (its summary) and ``next`` (struct<text, root, leaves>), of the next row by (doc_id, text); the first one's after the last.
 
     Rows are dealt into ranges of doc_id by approximate quantiles. A range has ``bucket_rows`` rows, or the square root of all where that is more, so that
     neither a range nor the list of cuts grows with all rows. Each range also gets the first row of the next one,
@@ -122,10 +130,9 @@ def with_next(docs: DataFrame, scratch: Scratch, bucket_rows: int = BUCKET_ROWS)
     firsts = firsts.groupBy("before").agg(F.min("text").alias("text"))
     guards = firsts.select(F.col("before").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("guard"))
     both = placed.select("bucket", "doc_id", "text", F.lit(False).alias("guard")).unionByName(guards)
-    own = _once(tree(F.col("text")), lambda t: F.struct(t.alias("tree"), leaves(t).alias("leaves")))
     order = Window.partitionBy("bucket").orderBy(F.col("guard"), F.col("doc_id").asc_nulls_first(), F.col("text"))
-    following = F.lead(F.struct("text", F.col("own.tree.root").alias("root"), F.col("own.leaves").alias("leaves"))).over(order)
-    return both.withColumn("own", own).repartition("bucket").withColumn("next", following).where(~F.col("guard")).select("doc_id", "text", "own", "next")
+    following = F.lead(F.struct("text", F.col("own.root").alias("root"), F.col("own.leaves").alias("leaves"))).over(order)
+    return both.withColumn("own", summary(F.col("text"))).repartition("bucket").withColumn("next", following).where(~F.col("guard")).select("doc_id", "text", "own", "next")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -142,13 +149,13 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     that repeat an id follow each other by text; equal rows have likeness 1. A null id comes first. An empty table gives no rows. Further columns are ignored.
     """
     pairs = with_next(docs, Scratch(docs.sparkSession, "merkle"))
-    new = _once(edited(F.col("text"), F.col("next.text")), lambda t: F.struct(F.sha2(t, 256).alias("sha256"), _once(tree(t), lambda x: F.struct(x.alias("tree"), leaves(x).alias("leaves"))).alias("own")))
+    new = _once(edited(F.col("text"), F.col("next.text")), lambda t: F.struct(F.sha2(t, 256).alias("sha256"), summary(t).alias("own")))
     rows = pairs.withColumn("new", new)
     own, changed, following = F.col("own"), F.col("new.own"), F.col("next")
     result = F.struct(
-        F.col("new.sha256").alias("edited_sha256"), own["tree"]["root"].alias("fingerprint"), changed["tree"]["root"].alias("edited_fingerprint"),
-        likeness(own["tree"]["root"], changed["tree"]["root"], own["leaves"], changed["leaves"]).alias("near_edited"),
-        likeness(own["tree"]["root"], following["root"], own["leaves"], following["leaves"]).alias("near_next"),
-        edits(changed["tree"], own["tree"]).alias("edited_paragraphs"),
+        F.col("new.sha256").alias("edited_sha256"), own["root"].alias("fingerprint"), changed["root"].alias("edited_fingerprint"),
+        likeness(own["root"], changed["root"], own["leaves"], changed["leaves"]).alias("near_edited"),
+        likeness(own["root"], following["root"], own["leaves"], following["leaves"]).alias("near_next"),
+        edits(changed, own).alias("edited_paragraphs"),
     )
     return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), result.alias("r")).select("doc_id", "n_chars", "r.*")

@@ -33,7 +33,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pii.replace(read(spark, sf_dir, "documents"), pii.session_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def held_out(doc_id: str = "doc_id"):

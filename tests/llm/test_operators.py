@@ -163,7 +163,7 @@ TEXTS_PII = [
 
 def test_surrogates(spark, empty):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS_PII * 2)]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string, kind string"), "k").collect()}
     n = len(TEXTS_PII)
     assert all(got[i].text == got[i + n].text for i in range(n)) and got[0].kind == "x"
     assert [got[i].text for i in range(4, n)] == TEXTS_PII[4:] and got[4].n_entities == 0 and got[5].n_entities == 0
@@ -178,12 +178,12 @@ def test_surrogates(spark, empty):
     assert "04dbebab" not in got[2].text and 'token = "' in got[2].text and "123-45-6789" not in got[2].text
     assert "Petra" not in got[3].text and got[3].text.startswith("Frau ") and "Herr " in got[3].text and "Иванов" not in got[3].text and "2024-01-02" in got[3].text
     assert any("а" <= c <= "я" for c in got[3].text)
-    assert pii.replace(empty).count() == 0
+    assert pii.replace(empty, "k").count() == 0
 
 
 @pytest.mark.parametrize("value", ["555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "(555) 123.4567", "030 1234567", "01 23 45 67 89", "020 7946 0958", "378282246310005", "3782 822463 10005", "3056 930902 5904", "4222222222222", "6304000000000000000", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2a00:1450::"])
 def test_further_forms_of_private_data(spark, value):
-    got = pii.replace(spark.createDataFrame([(1, f"see {value}, or {value}.")], "doc_id long, text string")).first()
+    got = pii.replace(spark.createDataFrame([(1, f"see {value}, or {value}.")], "doc_id long, text string"), "k").first()
     assert got.n_entities == 2 and value not in got.text and got.text.startswith("see ") and got.text.endswith(".")
     digits = "".join(c for c in got.text[4:].split(",")[0] if c.isdigit())
     if len(value) > 12 and ":" not in value and not value.startswith(("0", "1", "(")):
@@ -192,20 +192,20 @@ def test_further_forms_of_private_data(spark, value):
 
 def test_names_after_further_forms_of_address(spark):
     text = "Dr. Anna Klein, Prof Weber, Frau Dr. Petra Klein, Sr. García, Sir Henry and Доктор Иванов"
-    got = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    got = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
     assert got.n_entities == 6 and "Frau Dr. " in got.text and not any(n in got.text for n in ("Anna Klein", "Weber", "Petra", "García", "Henry", "Иванов"))
 
 
 def test_numbers_that_are_no_cards_or_phones_stay(spark):
     text = "378282246310006 and 1700000000000 at 10:20:30 on 01-02-2024 10:00, std::vector, 00:1a:2b:3c:4d:5e, 3.14.15"
-    got = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    got = pii.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
     assert got.text == text and got.n_entities == 0
 
 
 def test_surrogates_stay_distinct(spark):
     """More entities than a small space holds without collisions: all names after one form of address, and addresses."""
     rows = [("ipv4", f"10.0.{i // 256}.{i % 256}") for i in range(3000)] + [("phone", f"+1017555{i:04d}") for i in range(2000)]
-    entities = spark.createDataFrame(rows, "kind string, value string")
+    entities = spark.createDataFrame([(*r, "") for r in rows], "kind string, value string, gender string")
     got = pii.surrogates(entities, Scratch(spark, "pii"), "k").collect()
     assert len(got) == 5000 and len({(r.kind, r.plain) for r in got}) == 5000
     assert not {(r.kind, r.plain) for r in got} & set(rows)
@@ -215,9 +215,79 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_colliding_surrogates_are_made_again(spark):
-    names = [("name", f"Herr {a}{b}{c}") for a in "ABCDEFGH" for b in "abcdefghij" for c in "klmnopqrst"]
-    got = pii.surrogates(spark.createDataFrame(names, "kind string, value string"), Scratch(spark, "pii"), "k").collect()
-    assert len({r.plain for r in got}) == len(names)
+    """More names than their shortest form has: they grow."""
+    names = [("given", f"{a}{b}{c}", g) for a in "ABCDEFGH" for b in "abcdefghij" for c in "klmnopqrst" for g in "m"]
+    names += [("family", f"F{i}", "") for i in range(3000)]
+    got = pii.surrogates(spark.createDataFrame(names, "kind string, value string, gender string"), Scratch(spark, "pii"), "k").collect()
+    assert len({(r.kind, r.plain) for r in got}) == len(names)
+    few = spark.createDataFrame([("given", f"G{i}", "m") for i in range(3000)], "kind string, value string, gender string").withColumn("kind", F.lit("given"))
+    assert few.select(pii._name(pii._digest("k", F.lit("x"), F.lit("y"), F.lit(0)), F.lit(9), F.lit("Abc"), 3, lambda _: F.lit("")).alias("n")).first().n.isalpha()
+
+
+def test_hmac_is_the_standard_one(spark):
+    import hashlib
+    import hmac
+
+    row = spark.range(1).select(pii.hmac("key", F.lit("text é")).alias("a"), pii.hmac("long" * 40, F.lit("x")).alias("b")).first()
+    assert row.a == hmac.new(b"key", "text é".encode(), hashlib.sha256).hexdigest()
+    assert row.b == hmac.new(b"long" * 40, b"x", hashlib.sha256).hexdigest()
+
+
+def test_surrogates_need_a_key(spark, docs):
+    with pytest.raises(ValueError):
+        pii.replace(docs, "")
+    own = pii.session_key(spark)
+    assert own == pii.session_key(spark) and len(own) == 64
+    spark.conf.set(pii.KEY, "told")
+    assert pii.session_key(spark) == "told"
+    spark.conf.unset(pii.KEY)
+
+
+def test_entities_stay_distinct_and_the_same_everywhere(spark):
+    """Every mention of an entity, in whatever form, gets its surrogate in that form; no two entities share one, and none is a real value."""
+    r = random.Random(11)
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    entities = []  # forms of one entity, and what their surrogates must have in common
+    for i in range(60):
+        d = digits(10)
+        entities.append(([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"+1 {d[:3]} {d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"], lambda x: "".join(c for c in x if c.isdigit())[-10:]))
+        secret = "".join(r.choice("0123456789abcdef") for _ in range(24))
+        entities.append(([f'token = "{secret}', f"api_key: {secret}"], lambda x: x.split()[-1].strip('"')))
+        entities.append(([f"user{i}@corp{i}.com", f"USER{i}@CORP{i}.COM"], lambda x: x.lower()))
+        card = digits(16)
+        entities.append(([card, " ".join(card[k : k + 4] for k in range(0, 16, 4))], lambda x: x.replace(" ", "")))
+        family = "K" + "".join(r.choice("abcdefgh") for _ in range(8))
+        entities.append(([f"Mrs {family}", f"Miss {family}", f"Dr. Joan {family}"], lambda x: x.split()[-1]))
+    rows, places = [], []
+    for k, (forms, _) in enumerate(entities):
+        for form in forms * 2:
+            places.append((len(rows), k))
+            rows.append((len(rows), f"x | {form} | y"))
+    r.shuffle(rows)
+    got = {x.doc_id: x.text.split(" | ") for x in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    real = {same(f) for forms, same in entities for f in forms}
+    surrogate: dict = {}
+    for doc, k in places:
+        assert got[doc][0] == "x" and got[doc][2] == "y"
+        surrogate.setdefault(k, set()).add(entities[k][1](got[doc][1]))
+    assert all(len(v) == 1 for v in surrogate.values())
+    flat = [next(iter(v)) for v in surrogate.values()]
+    assert len(set(flat)) == len(flat) and not set(flat) & real
+
+
+def test_later_mentions_of_a_name(spark):
+    text = "Mr John Klein came. Klein said that John left; Kleinstadt and john stay. My name is Mary Stone. Dear Otto Berg, Stone"
+    got = pii.replace(spark.createDataFrame([(1, text), (2, "Klein and Stone are words here")], "doc_id long, text string"), "k").collect()
+    by = {x.doc_id: x for x in got}
+    words = by[1].text.replace(".", "").split(" ")
+    assert words[0] == "Mr" and words[2] == words[4] and words[1] == words[7] and "Kleinstadt and john stay" in by[1].text
+    assert not any(n in by[1].text.replace("Kleinstadt", "") for n in ("John", "Klein", "Mary", "Stone", "Otto", "Berg")) and by[2].text == "Klein and Stone are words here"
+
+
+def test_private_data_in_a_very_long_text(spark):
+    text = "word " * 200_000 + "mail a.b@mail1.example.com " * 3000
+    got = pii.replace(spark.createDataFrame([(1, text, "n", "r")], "doc_id long, text string, n_entities string, row string"), "k").first()
+    assert got.n_entities == 3000 and "mail1" not in got.text and len(got.text.split()) == len(text.split()) and got.row == "r"
 
 
 LANGS = {"en": ["the", "and", "with", "thing", "ation", "shall"], "de": ["und", "schön", "zeit", "straße", "ung", "nicht"], "fr": ["être", "où", "ça", "les", "ment", "eaux"], "es": ["ción", "niño", "que", "los", "mente", "año"], "it": ["gli", "che", "zione", "della", "più", "anche"], "pt": ["ção", "não", "uma", "muito", "também", "lhe"]}
@@ -278,7 +348,7 @@ def test_merkle_locates_edits(spark):
     a = "one\ntwo\n\nthree\nfour"
     cases = [(a, "one\ntwo\n\nthree\nFOUR", [(1, 1)]), ("new\n" + a, a, [(0, 0)]), ("one\ntwo\n\nthree\nmore\nfour", a, [(1, 1)]), (a, a, []), ("", a, []), (a, "", [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)])]
     frame = spark.createDataFrame([(i, x, y) for i, (x, y, _) in enumerate(cases)], "i int, a string, b string")
-    rows = frame.select("i", merkle.edits(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("e")).collect()
+    rows = frame.select("i", merkle.edits(merkle.summary(F.col("a")), merkle.summary(F.col("b"))).alias("e")).collect()
     got = {r.i: [tuple(x) for x in r.e] for r in rows}
     assert [got[i] for i in range(3)] == [c[2] for c in cases[:3]] and got[3] == [] and got[4] == []
     assert len(got[5]) >= 4
@@ -505,6 +575,8 @@ def test_search(spark):
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     hits = sum(len(set(got[q]) & set(want[q])) for q in want)
     assert hits / sum(map(len, want.values())) >= 0.9
+    again = ann.search(frame, rerank=1, block=500, query_bytes=2000).orderBy("query_id", "rank").collect()
+    assert [(x.query_id, x.vec_id) for x in again] == [(q, v) for q in sorted(got) for v in got[q]]
     assert ann.search(frame.limit(0)).count() == 0 and ann.search(frame.where("vec_id < 3")).count() == 2
 
 
@@ -522,6 +594,17 @@ def test_search_finds_all_nearest_in_a_hot_group(spark, noise):
     assert got == brute.nearest({i: np.array(v) for i, v in rows}, every=60)
 
 
+def test_search_of_several_lengths_and_few_vectors(spark):
+    r = np.random.RandomState(8)
+    vectors = {i: r.randn((3, 8, 16)[i % 3]) for i in range(90)}
+    got: dict = {}
+    for x in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>"), every=5, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    for q, found in got.items():
+        assert found == brute.nearest({i: v for i, v in vectors.items() if len(v) == len(vectors[q])} | {q: vectors[q]}, every=5, k=4)[q]
+    assert len(got) == 18
+
+
 def test_anisotropic_codes_keep_inner_products_better():
     r = np.random.RandomState(1)
     x = r.randn(2000, 16)

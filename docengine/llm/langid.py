@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from ._common import need
 from .tokens import forget
 
-#: At most about so many labelled rows of each language are fitted, chosen by the smallest hashes of their id.
+#: At most about so many labelled rows of each language are fitted, and so many in all where that leaves each its least; chosen by hashes of their id.
 ROWS_PER_LANGUAGE = 500
-MOST_LANGUAGES = 256
+SAMPLE_ROWS = 8192
+LEAST_ROWS = 16
 BUCKETS = 1 << 16
+#: n-grams with weights: the commonest of each language.
+NGRAMS = 4096
 AMBIGUOUS = 0.1
 
 
@@ -32,16 +35,18 @@ def codewords(n: int):
     if n <= 5:
         splits = [s for s in itertools.product((-1, 1), repeat=n) if s[0] == 1 and -1 in s]
         return np.array(splits, dtype=np.int8).T
-    bits, best, most = max(15, 4 * int(np.ceil(np.log2(n)))), None, -1
-    for seed in range(64):
-        code = np.where(np.random.RandomState(seed).rand(n, bits) < 0.5, -1, 1).astype(np.int8)
-        both = (np.abs(code.sum(axis=0)) < n).all()
-        apart = min(int((code[i] != code[j]).sum()) for i, j in itertools.combinations(range(n), 2))
-        if both and apart > most:
-            best, most = code, apart
-    if best is None or most < 1:
-        raise ValueError("no code keeps so many languages apart")
-    return best
+    bits = max(15, 4 * int(np.ceil(np.log2(n))))
+    while True:
+        best, most = None, 0
+        for seed in range(64 if n <= 512 else 2):
+            code = np.where(np.random.RandomState(seed).rand(n, bits) < 0.5, -1, 1).astype(np.int8)
+            both = (np.abs(code.sum(axis=0)) < n).all()
+            apart = min(int((code[i + 1 :] != code[i]).sum(axis=1).min()) for i in range(n - 1))
+            if both and apart > most:
+                best, most = code, apart
+        if best is not None:
+            return best
+        bits += 8
 
 
 #: ASCII letters in lower case, other ASCII as space; bytes of other letters stay.
@@ -105,10 +110,17 @@ def fit(rows: list[tuple[str, str]], epochs: int = 300) -> Model:
     if not rows:
         return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
     code = codewords(len(languages))
-    used = np.zeros(BUCKETS, dtype=np.int64)
-    for t, _ in rows:
-        used[np.unique(features(t))] += 1
-    kept = np.argsort(-used, kind="stable")[:4096]  # the commonest n-grams carry the decision
+    # An n-gram counts by the share of rows that have it, in the language where that is largest: so each language has its own.
+    share = np.zeros(BUCKETS, dtype=np.float32)
+    of: dict[str, list[str]] = {}
+    for t, lang in rows:
+        of.setdefault(lang, []).append(t)
+    for texts in of.values():
+        used = np.zeros(BUCKETS, dtype=np.float32)
+        for t in texts:
+            used[np.unique(features(t))] += 1
+        share = np.maximum(share, used / len(texts))
+    kept = np.argsort(-share, kind="stable")[:NGRAMS]
     column = np.full(BUCKETS, -1)
     column[kept] = np.arange(len(kept))
     x = np.zeros((len(rows), len(kept)), dtype=np.float32)
@@ -118,7 +130,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 300) -> Model:
         x[i, at[at >= 0]] = n[at >= 0] / n.sum()
     scale = 1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-7)
     x *= scale / 8
-    index = np.array([languages.index(lang) for _, lang in rows])
+    index = np.searchsorted(np.array(languages, dtype=object), np.array([lang for _, lang in rows], dtype=object))
     y = code[index].astype(np.float32)
     balance = (1 / np.bincount(index, minlength=len(languages)))[index].astype(np.float32)
     balance /= balance.sum()
@@ -148,19 +160,25 @@ def fit(rows: list[tuple[str, str]], epochs: int = 300) -> Model:
     return Model(languages, code.astype(np.float32), weights, b, trust)
 
 
-def train(docs: DataFrame, usable=None, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """A model from the labelled rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds: about ``rows_per_language`` of each language, by id hash.
+def train(docs: DataFrame, usable=None, rows_per_language: int = ROWS_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from the labelled rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds.
 
-    Rows with null text or lang are left out. The sample is the operator's only bounded step; it goes to the driver.
+    Every non-null value of lang is learned, from about ``rows_per_language`` rows, or an equal part of ``sample_rows`` where there are many languages, but
+    ``LEAST_ROWS`` at least, chosen by id hash. Rows with null text or lang are left out. The sample is the operator's only bounded step; it goes to the driver.
     """
+    spark = docs.sparkSession
     base = need(docs, "doc_id", "text", "lang")
     labelled = base.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") > 0))
     if usable is not None:
         labelled = labelled.where(usable)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
+    if not counts:
+        return fit([])
+    wanted = max(LEAST_ROWS, min(rows_per_language, sample_rows // len(counts)))
     scale = 1 << 30
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(scale, rows_per_language * scale // r["count"]))) for r in counts], F.lit(0)) if counts else F.lit(0)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(scale)) < share)
+    shares = spark.createDataFrame([(r["lang"], min(scale, wanted * scale // r["count"])) for r in counts], "l string, share long")
+    drawn = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(scale)) < F.col("share")
+    chosen = labelled.join(F.broadcast(shares), F.col("lang") == F.col("l")).where(drawn)
     return fit([(r.text, r.lang) for r in chosen.select("text", "lang").toLocalIterator()])
 
 
@@ -170,7 +188,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Texts that are null or have no letter get ``und`` with score 0; repeated rows the same result; an empty table stays empty.
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    base = docs.select(*[F.col(f"`{c}`") for c in own])
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -180,5 +197,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         forget()
         return pd.DataFrame([told.value.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
-    found = base.withColumn("__guess", guess(F.col("text")))
-    return found.select(*[F.col(f"`{c}`") for c in own], "__guess.lang_pred", "__guess.score", "__guess.ambiguous")
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), guess(F.col("text")).alias("guess"))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "guess.lang_pred", "guess.score", "guess.ambiguous")

@@ -86,21 +86,21 @@ def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> D
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, row_bytes: int = 32, slices: int = 1000) -> DataFrame:
-    """The inner join of two written tables on column ``key``, which is unique in ``right``, with hot keys of ``left`` dealt out.
+def spread_join(left: DataFrame, right: DataFrame, key: str, row_bytes: int | None = 32, slices: int = 1000, how: str = "inner") -> DataFrame:
+    """The join of two written tables on column ``key``, which is unique in ``right``, with hot keys of ``left`` dealt out.
 
-    A small ``right`` is broadcast. Else a key with more than one in ``slices`` of the rows of ``left`` is hot; there are fewer than
+    A small ``right`` is broadcast, unless ``row_bytes`` is None. Else a key with more than one in ``slices`` of the rows of ``left`` is hot; there are fewer than
     ``slices`` of these, and each is cut into parts of about that size, to which the row of ``right`` is copied.
     """
-    if small_enough(right, row_bytes):
-        return left.join(F.broadcast(right), key)
+    if row_bytes and small_enough(right, row_bytes):
+        return left.join(F.broadcast(right), key, how)
     part = max(1, left.count() // slices)
     hot = left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > part)
     hot = F.broadcast(hot.select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / part).cast("int").alias("hot_parts")).limit(slices))
     parts = F.coalesce("hot_parts", F.lit(1))
     many = left.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("hot_part", F.floor(F.rand(0) * parts).cast("int")).drop("hot_key", "hot_parts")
     one = right.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_key", "hot_parts")
-    return many.join(one, [key, "hot_part"]).drop("hot_part")
+    return many.join(one, [key, "hot_part"], how).drop("hot_part")
 
 
 def release(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, create_folder, filesystem, need
+from ._common import Scratch, create_folder, filesystem, need, spread_join
 
 VERSION = b"WARC/1.1"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -75,7 +75,7 @@ def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, stop + 2) if fields.get("content-length", "").isdigit() else None
 
 
-def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def revisits(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) with ``of``: the page that a page revisits, null where it is a response.
 
     Of pages with equal html of at least ``min_bytes`` bytes, that of the largest page_id is the response; null html
@@ -83,8 +83,8 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     base = need(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     base = base.withColumn("key", F.sha1("html"))
-    last = base.groupBy(F.col("key").alias("k")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = base.join(last, F.col("key") == F.col("k"), "left")
+    last = base.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = spread_join(base, scratch.table(last, "last"), "key", 80, how="left")
     known = (F.octet_length("html") >= min_bytes) & (F.col("page_id") < F.col("last"))
     return own.select("page_id", "url", "html", F.when(known, F.col("last")).alias("of"))
 
@@ -122,7 +122,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
             files.append((uri, size, n))
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), *[pa.array([f[i] for f in files], pa.int64()) for i in (1, 2)]], names=["path", "bytes", "records"])
 
-    files = revisits(pages, min_bytes).mapInArrow(write, "path string, bytes long, records long")
+    files = revisits(pages, Scratch(pages.sparkSession, "revisits"), min_bytes).mapInArrow(write, "path string, bytes long, records long")
     files.write.mode("overwrite").parquet(f"{folder}/files")
     return pages.sparkSession.read.schema("path string, bytes long, records long").parquet(f"{folder}/files")
 

@@ -9,7 +9,7 @@ File format, all integers little-endian::
                       b"DTOK0001"
 
 A reader fetches the footer and the index, then just the frames that it needs. Documents are in
-ascending order of doc_id in a file and from file to file (nulls first, equal ids by text); the
+ascending order of doc_id in a file and from file to file (nulls first, equal ids by the text's hash); the
 manifest table gives each file's order. Every task attempt writes a file of its own name and only
 committed attempts come into the manifest, so retries and lost executors leave no wrong data.
 """
@@ -104,7 +104,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, byte
             row = [TaskContext.get().partitionId(), uri, len(index["doc_id"]), total, at + len(frame) + FOOTER_BYTES]
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "path", "documents", "tokens", "bytes"), row))], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # rows that repeat an id are dealt out too
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = ordered.mapInArrow(write, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")

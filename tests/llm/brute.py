@@ -28,7 +28,12 @@ def crc(ids) -> int:
 
 def token_store(docs):
     encode, at, out = ids_of("byte_bpe_50k.json"), 0, []
-    for doc, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+
+    def signed(text):  # XXH64 with seed 42; null's is the seed
+        h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    for doc, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))):
         ids = [*encode(text), 0]
         out.append((doc, at, len(ids), crc(ids)))
         at += len(ids)

@@ -6,7 +6,8 @@ repeat. The runs of windows of the other anchors are dealt into reference shards
 a shard, a generalised suffix automaton of the distinct runs counts the end positions of all their substrings, and streaming
 the runs through it gives the windows that occur at least twice. An automaton of all text can't be broadcast, nor each document
 streamed past each shard, at a cost in proportion to the input: the anchors tell which shard can hold a match, and lose none.
-Anchors of very many runs are dealt out by whole window, so that no shard grows with one passage's copies.
+Anchors of very many runs are dealt out by whole window, so that no shard grows with one passage's copies; those of a thousandth of all
+runs or more are told to every task, and no join meets them.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, need, release
+from ._common import Scratch, need, release, spread_join
 from .tokens import text_slices
 
 WINDOW = 35
 GRAM = 10
 #: Anchors of more runs than this are dealt out by window.
 HOT = 4000
+#: Anchors with more than one in so many of all runs are known to every task; there are fewer than that.
+SLICES = 1000
 #: Runs of consecutive anchors share an automaton up to about so many words.
 SHARD_WORDS = 20_000
 
@@ -208,11 +211,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64))], names=["key", "first", "n", "anchor"])
 
     runs = scratch.table(base.select("key", "text").mapInArrow(find, "key long, first int, n int, anchor long"), "runs")
-    often = runs.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("times")).where("times > 1")
-    shared = runs.join(often, F.col("anchor") == F.col("a")).select("key", "first", "n", "anchor", (F.col("times") > HOT).alias("hot"))
+    often = scratch.table(runs.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("times")).where("times > 1"), "often")
+    line = max(HOT, runs.count() // SLICES)
+    top = often.where(F.col("times") > line).select(F.col("a").alias("top")).limit(SLICES)
+    marked = runs.join(F.broadcast(top), F.col("anchor") == F.col("top"), "left")
+    rest = marked.where("top is null").join(often.where(F.col("times") <= line), F.col("anchor") == F.col("a"))
+    shared = rest.select("key", "first", "n", "anchor", (F.col("times") > HOT).alias("hot")).unionByName(marked.where("top is not null").select("key", "first", "n", "anchor", F.lit(True).alias("hot")))
     shared = scratch.table(shared, "shared")
     release(spark)
-    scratch.drop("runs")
+    scratch.drop("runs", "often")
 
     # Rows that repeat have one key: their runs are the same, and each row gets the list once.
     lists = shared.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("first", "n", "anchor", "hot")).alias("runs"))
@@ -248,8 +255,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     distinct = places.groupBy("shard_key", "run").agg(F.count("*").alias("n"))
     masks = scratch.table(repeated_windows(distinct, window), "masks")
     release(spark)
-    own = places.select("key", "first", "shard_key", F.xxhash64("run").alias("h"))
-    found = own.join(masks.select(F.col("shard_key").alias("s"), "run_hash", "mask"), (F.col("shard_key") == F.col("s")) & (F.col("h") == F.col("run_hash")))
+    own = places.select("key", "first", F.struct("shard_key", F.xxhash64("run").alias("run_hash")).alias("at"))
+    found = spread_join(own, masks.select(F.struct("shard_key", "run_hash").alias("at"), "mask"), "at", None)
     marks = scratch.table(found.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("first", "mask")).alias("marks")), "marks")
     release(spark)
     scratch.drop("places", "masks")

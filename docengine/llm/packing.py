@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, checked_broadcast, need
-from .tokens import encoder, text_slices
+from .tokens import CACHE_ENTRIES, encoder, text_slices
 
 WINDOW = 4096
 COMBINATIONS = 6000
@@ -142,7 +142,7 @@ def plan(histogram, first_sequence: int, window: int = WINDOW) -> Plan:
     return Plan(window, (of(0) << 44) | of(1), of(2), of(3), line_start, used, sequence, int(tokens.sum()))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, byte_level: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, byte_level: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) in sequences of at most ``window`` tokens: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     Each document's ids end with ``end_id``; null and empty texts hold just that. Repeated rows are packed each
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, byt
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        work, full = encoder(tokenizer, byte_level), 0
+        work, full = encoder(tokenizer, byte_level, cache_entries), 0
         ranks: dict[int, int] = {}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -354,6 +354,8 @@ def keep_one(docs: DataFrame, size: int = SIMILAR["size"], least: float = SIMILA
     own = docs.columns
     rows = scratch.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows")
     first = F.struct(F.coalesce(F.col("row.doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("row_id").alias("row_id"))
-    _, classes = near_classes(rows.select(F.col("row_id").alias("id"), first.alias("first"), F.col("row.text").alias("text")), scratch, size, least, recall)
+    ids, classes = near_classes(rows.select(F.col("row_id").alias("id"), first.alias("first"), F.col("row.text").alias("text")), scratch, size, least, recall)
     stay = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row_id").alias("keep"))
-    return rows.join(stay, F.col("row_id") == F.col("keep"), "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in own])
+    # Those that go are fewer: where their ids are small enough to be told to all tasks, no text moves.
+    gone = scratch.table(ids.join(stay.hint("merge"), F.col("id") == F.col("keep"), "left_anti").select(F.col("id").alias("gone")), "gone")
+    return rows.join(checked_broadcast(gone, 16), F.col("row_id") == F.col("gone"), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in own])

@@ -31,7 +31,7 @@ CACHE_ENTRIES = 500_000
 class Encoder:
     """``byte_level``: a piece keeps the space before it (GPT-2 rule); else spaces are dropped."""
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,7 +39,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need 16 bits at most")
-        self.byte_level = byte_level
+        self.byte_level, self.entries = byte_level, entries
         self.marks = {m: self._library([m])[0] for m in ".,!"}
         self.separator = None
         if not any(BYTE_SIGNS[0] in k for k in self.tokenizer.get_vocab() if len(k) > 1):
@@ -119,7 +119,7 @@ class Encoder:
     def _lookup(self, pieces: list[str], before: str) -> list[bytes | None]:
         """Ids of the pieces. When a generation is full, it becomes the old one; what is met again moves on to the new one."""
         cache, old = self.known[before], self.old[before]
-        if len(cache) > CACHE_ENTRIES:
+        if len(cache) > self.entries:
             self.old[before] = old = cache
             self.known[before] = cache = {}
         if new := [p for p in pieces if p not in cache]:
@@ -165,11 +165,11 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, byte_level: bool) -> Encoder:
-    """One encoder per worker and file."""
+def encoder(path: str, byte_level: bool, entries: int = CACHE_ENTRIES) -> Encoder:
+    """One encoder per worker and file, with caches of generations of ``entries`` pieces."""
     if (path, byte_level) not in _encoders:
         give_back()
-        _encoders[path, byte_level] = Encoder(path, byte_level)
+        _encoders[path, byte_level] = Encoder(path, byte_level, entries)
     return _encoders[path, byte_level]
 
 

@@ -26,23 +26,33 @@ def squeeze(x: Column) -> Column:
     return F.array_join(F.filter(F.split(x, f"{SPACE}+"), lambda w: w != ""), " ")
 
 
-def casefold(x: Column) -> Column:
-    """Lower case, sharp s as ss: Python's casefold for Western European text. ``casefold_full`` covers all of Unicode."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
-
-
 @F.pandas_udf(StringType())
-def casefold_full(x: pd.Series) -> pd.Series:
+def _casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else t.casefold())
 
 
 @F.pandas_udf(StringType())
-def nfkc(x: pd.Series) -> pd.Series:
+def _nfkc(x: pd.Series) -> pd.Series:
     import unicodedata
 
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def beyond_ascii(x: Column) -> Column:
+    """``x`` where it has a sign beyond ASCII, else null: what Python's Unicode rules have to see."""
+    return F.when(x.rlike(r"[^\x00-\x7F]"), x)
+
+
+def casefold(x: Column) -> Column:
+    """Python's casefold. ASCII text is lower-cased in the JVM and doesn't go to Python."""
+    return F.coalesce(_casefold(beyond_ascii(x)), F.lower(x))
+
+
+def nfkc(x: Column) -> Column:
+    """Unicode's NFKC form. ASCII text has it already and doesn't go to Python."""
+    return F.coalesce(_nfkc(beyond_ascii(x)), x)
+
+
 def clean_lines(x: Column) -> Column:
     """Line ends as LF, no space at line ends, one empty line at most between lines, none around the text."""
     unix = F.regexp_replace(x, "\r\n|\r", "\n")
@@ -81,9 +91,9 @@ def parent_anchor(source_type: Column, path: Column, block_types: Column, conten
 
 
 def section_id(path: Column, page: Column) -> Column:
-    """section: and 16 hex digits of the path's hash, else the page, else the document."""
-    joined = F.array_join(path, " > ")
-    return F.when(F.size(path) > 0, F.concat(F.lit("section:"), F.substring(sha256(casefold(joined)), 1, 16))).when(page.isNotNull(), F.concat(F.lit("page:"), page.cast("string"))).otherwise(F.lit("document"))
+    """section: and 16 hex digits of the hash of the path, else of the page, else of the document."""
+    where = F.when(F.size(path) > 0, casefold(F.array_join(path, " > "))).otherwise(F.coalesce(F.concat(F.lit("page:"), page.cast("string")), F.lit("document")))
+    return F.concat(F.lit("section:"), F.substring(sha256(where), 1, 16))
 
 
 def token_estimate(x: Column) -> Column:
@@ -100,7 +110,7 @@ def context_prefix(title: Column, version: Column, path: Column, text: Column) -
 
 def lexical_tokens(x: Column) -> Column:
     """Latin terms, and single CJK signs and pairs; the whole text where there are none."""
-    low = F.lower(strip(x))
+    low = F.lower(strip(nfkc(x)))
     latin = F.regexp_extract_all(low, F.lit(r"[a-z0-9][a-z0-9._+/#\-]*"), 0)
     runs = F.regexp_extract_all(low, F.lit(r"[\x{3400}-\x{9FFF}]+"), 0)
     ones = F.flatten(F.transform(runs, lambda r: F.filter(F.split(r, ""), lambda c: c != "")))
@@ -151,6 +161,27 @@ def unicode_name(x: Column) -> Column:
     return F.substring(F.regexp_replace(safe, r"^[._]+|[._]+$", ""), 1, 80)
 
 
+#: Content types by extension.
+CONTENT_TYPES = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "md": "text/markdown", "markdown": "text/markdown"}
+
+
+def content_type(name: Column, told: Column) -> Column:
+    """The content type that an upload tells, or that of its extension where it tells none or just bytes; null for unknown extensions."""
+    by = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    extension = F.regexp_extract(F.lower(name), r"[.]([a-z0-9]+)$", 1)
+    return F.coalesce(F.nullif(F.nullif(told, F.lit("")), F.lit("application/octet-stream")), F.try_element_at(by, extension))
+
+
+def code(x: Column) -> Column:
+    """A customer's or product's code as it is kept: upper case."""
+    return F.upper(x)
+
+
+def category(x: Column) -> Column:
+    """A category as it is compared: stripped, lower case."""
+    return F.lower(strip(x))
+
+
 def or_default(x: Column, default: Column) -> Column:
     """``x`` unless it is null or empty."""
     return F.coalesce(F.nullif(x, F.lit("")), default)

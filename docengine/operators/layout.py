@@ -108,7 +108,7 @@ def to_chunks(blocks: DataFrame, title: str | None = None, version: str | None =
         for b in structural(read_blocks(frame), cfg.chunk_chars):
             parts = [b.text] if len(b.text) <= cfg.chunk_chars else ("table" in b.kinds and chunks.split_table(b.text, cfg.chunk_chars)) or chunks.windows(b.text, cfg.chunk_chars, cfg.chunk_overlap)
             head = "\n".join([f"{k}: {v}" for k, v in (("Document", title), ("Version", version), ("Section", " > ".join(b.path))) if v])
-            parent = "section:" + hashlib.sha256(" > ".join(b.path).casefold().encode()).hexdigest()[:16] if b.path else f"page:{b.page}"
+            parent = "section:" + hashlib.sha256((" > ".join(b.path).casefold() or f"page:{b.page}").encode()).hexdigest()[:16]
             rows += [(doc, len(rows) + i, f"{head}\n\n{p}" if head else p, b.page, b.path, b.kinds, b.ids, parent) for i, p in enumerate(parts)]
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in re.split(", ", CHUNKS)])
 

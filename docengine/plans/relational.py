@@ -19,7 +19,9 @@ q("customer_search", """
   WHERE (contains(c_name, '11') OR contains(c_mktsegment, 'BUILD')) AND c_acctbal IS NOT NULL ORDER BY c_name, c_custkey LIMIT 50""")
 q("client_search", """
   SELECT o_orderkey FROM {orders} WHERE contains(lower(concat_ws(' ', o_orderpriority, CAST(o_orderkey AS STRING))), 'high 1')""")
-q("blank_search_keeps_all", "SELECT count(*) AS n FROM {customer} WHERE nullif(trim('  '), '') IS NULL OR contains(c_name, nullif(trim('  '), ''))")
+q("blank_search_keeps_all", """
+  WITH s AS (SELECT n_nationkey, nullif(trim(CASE WHEN n_nationkey % 3 = 0 THEN '  ' WHEN n_nationkey % 3 = 1 THEN ' 11 ' ELSE '00' END), '') AS term FROM {nation})
+  SELECT c_custkey, term FROM {customer} JOIN s ON c_nationkey = n_nationkey WHERE term IS NULL OR contains(c_name, term)""")
 q("active_reference", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN concat('RFP-', CAST(o_orderkey AS STRING)) END AS active_reference FROM {orders}")
 q("ready_documents", """
   SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'READY' WHEN l.quality = 0 THEN 'FAILED' ELSE 'PENDING' END AS status
@@ -37,7 +39,7 @@ q("dto_projection", "SELECT o_orderkey AS id, o_custkey AS customer_id, lower(o_
 
 # Joins
 q("results_with_requirements", """
-  SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey WHERE l.l_orderkey <= 400""")
+  SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""")
 q("proposals_of_active_rfps", """
   SELECT l.l_orderkey, count(*) AS versions FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus <> 'F' GROUP BY l.l_orderkey""")
 q("evidence_eager_load", """
@@ -52,7 +54,10 @@ q("missing_results_only", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {la
 q("delete_guard", """
   SELECT c.c_custkey, CASE WHEN EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus <> 'F') THEN 'CUSTOMER_HAS_RFPS' END AS error_code FROM {customer} c""")
 q("duplicate_lookup", """
-  SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM {documents} a JOIN {documents} b ON sha2(a.text, 256) = sha2(b.text, 256) AND a.doc_id <> b.doc_id GROUP BY a.doc_id""", """
+  WITH h AS (SELECT doc_id, sha2(text, 256) AS h FROM {documents}),
+  g AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h HAVING count(*) > 1),
+  n AS (SELECT h.h, min(g.first) AS first, min(h.doc_id) AS second FROM h JOIN g ON h.h = g.h WHERE h.doc_id > g.first GROUP BY h.h)
+  SELECT h.doc_id, CASE WHEN h.doc_id = n.first THEN n.second ELSE n.first END AS duplicate_of FROM h JOIN n ON h.h = n.h""", """
   SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM {documents} a JOIN {documents} b ON sha256(a.text) = sha256(b.text) AND a.doc_id <> b.doc_id GROUP BY a.doc_id""")
 q("first_review_time", """
   SELECT c.c_custkey, coalesce(m.first_at, TIMESTAMP_NTZ '2000-01-01 00:00:00') AS workflow_started_at FROM {customer} c
@@ -62,18 +67,18 @@ q("first_review_time", """
 q("delete_with_subquery", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F')")
 q("coverage_check", """
   SELECT coalesce(e.k, a.k) AS requirement, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unknown' WHEN a.n > 1 THEN 'duplicate' ELSE 'ok' END AS finding
-  FROM (SELECT DISTINCT p_partkey AS k FROM {part} WHERE p_partkey % 3 <> 0) e
-  FULL OUTER JOIN (SELECT l_partkey AS k, count(*) AS n FROM {lineitem} WHERE l_linenumber = 7 GROUP BY l_partkey) a ON e.k = a.k""")
+  FROM (SELECT DISTINCT p_partkey AS k FROM {part} WHERE contains(p_type, 'A')) e
+  FULL OUTER JOIN (SELECT l_partkey AS k, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_partkey) a ON e.k = a.k""")
 q("client_dictionary_join", "SELECT o.o_orderkey, coalesce(c.c_name, '—') AS customer FROM {orders} o LEFT JOIN {customer} c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0")
 
 # Aggregates, windows, top-k, sets
 q("next_version", "SELECT c.c_custkey, coalesce(max(o.o_orderkey), 0) + 1 AS next_version FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
-q("duplicate_keys", "SELECT l_partkey, count(*) AS n FROM {lineitem} WHERE l_linenumber = 1 GROUP BY l_partkey HAVING count(*) > 1 ORDER BY l_partkey")
+q("duplicate_keys", "SELECT l_partkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_partkey HAVING count(*) > 1 ORDER BY l_partkey")
 q("change_statistics", """
   SELECT user_id, count_if(event_type = 'view') AS unchanged, count_if(event_type = 'click') AS moved, count_if(event_type = 'signup') AS modified, count_if(event_type = 'purchase') AS added, count_if(event_type = 'error') AS deleted FROM {events} GROUP BY user_id""", """
   SELECT user_id, CAST(count_if(event_type = 'view') AS BIGINT) AS unchanged, CAST(count_if(event_type = 'click') AS BIGINT) AS moved, CAST(count_if(event_type = 'signup') AS BIGINT) AS modified, CAST(count_if(event_type = 'purchase') AS BIGINT) AS added, CAST(count_if(event_type = 'error') AS BIGINT) AS deleted FROM {events} GROUP BY user_id""")
 q("document_type_rollup", """
-  WITH pages AS (SELECT user_id AS document, CASE event_type WHEN 'view' THEN 'empty' WHEN 'error' THEN 'scanned' ELSE 'text' END AS kind FROM {events} WHERE event_id % 17 = 0)
+  WITH pages AS (SELECT user_id AS document, CASE event_type WHEN 'view' THEN 'empty' WHEN 'error' THEN 'scanned' ELSE 'text' END AS kind FROM {events})
   SELECT document, CASE WHEN count_if(kind <> 'empty') = count_if(kind = 'text') THEN 'text_based' WHEN count_if(kind <> 'empty') = count_if(kind = 'scanned') THEN 'scanned' ELSE 'mixed' END AS document_type FROM pages GROUP BY document""")
 q("health_rollup", "SELECT user_id, bool_and(event_type <> 'error') AS healthy FROM {events} GROUP BY user_id")
 q("dashboard_counts", "SELECT count_if(o_orderstatus = 'O') AS active, count_if(o_orderstatus = 'P') AS review, count(*) AS total FROM {orders}", "SELECT CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS active, CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS review, count(*) AS total FROM {orders}")
@@ -85,9 +90,9 @@ q("dense_numbering", """
 q("parent_anchor_occurrence", """
   SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INT) AS occurrence FROM {conversations}""")
 q("parent_grouping", """
-  WITH ranked AS (SELECT label AS query_id, vec_id % 25 AS parent, vec_id AS point, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM {embeddings})
-  SELECT query_id, parent, point, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS new_rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank) AS k FROM ranked) t WHERE k = 1""")
+  WITH ranked AS (SELECT label AS query_id, vec_id % 2 AS document, nullif(vec_id % 25, 0) AS parent, vec_id AS point, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM {embeddings})
+  SELECT query_id, document, parent, point, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS new_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, document, parent, CASE WHEN parent IS NULL THEN point END ORDER BY rank) AS k FROM ranked) t WHERE k = 1""")
 q("rank_columns", """
   SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey) AS INT) AS rank,
     CASE WHEN l_returnflag = 'A' THEN CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) END AS selection_order FROM {lineitem}""")
@@ -144,7 +149,7 @@ q("retry_routing", """
   SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'RFP_NOT_FAILED' WHEN o_orderpriority = '5-LOW' THEN 'STAGE_NOT_RETRYABLE' END AS error_code,
     CASE WHEN o_orderstatus = 'F' THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'rfp.uploaded' WHEN '2-HIGH' THEN 'rfp.completed' WHEN '3-MEDIUM' THEN 'rfp.requirements.extracted' WHEN '4-NOT SPECIFIED' THEN 'rfp.capabilities.evaluated' END END AS topic FROM {orders}""")
 q("delete_cascade", """
-  SELECT o.o_orderkey, 'ARCHIVED' AS rfp_status, l.l_linenumber, CASE WHEN l.l_linestatus = 'O' THEN 'CANCELLED' ELSE 'KEPT' END AS run_status FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey % 50 = 1""")
+  SELECT o.o_orderkey, 'ARCHIVED' AS rfp_status, l.l_linenumber, CASE WHEN l.l_linestatus = 'O' THEN 'CANCELLED' ELSE 'KEPT' END AS run_status FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'P'""")
 q("citation_validation", """
   SELECT l_orderkey, CASE WHEN size(array_distinct(sel)) < size(sel) THEN 'DUPLICATE_SELECTED' WHEN size(array_except(sel, avail)) > 0 THEN 'UNKNOWN_SELECTED' WHEN size(sel) = 0 THEN 'NOTHING_SELECTED' ELSE 'OK' END AS finding FROM (
     SELECT l_orderkey, collect_list(CASE WHEN l_linestatus = 'O' THEN l_suppkey % 5 END) AS avail, collect_list(CASE WHEN l_returnflag = 'A' THEN l_suppkey % 7 END) AS sel FROM {lineitem} GROUP BY l_orderkey) t""", """
@@ -157,7 +162,7 @@ q("backfill_coalesce", """
   SELECT d.doc_id, coalesce(CAST(l.quality AS STRING), sha2(d.text, 256)) AS content_hash, l.doc_id IS NULL AS filled FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""", """
   SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), sha256(d.text)) AS content_hash, l.doc_id IS NULL AS filled FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""")
 q("review_rules", """
-  SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'A' AND l_comment_missing THEN 'COMMENT_REQUIRED' END AS error_code FROM (SELECT *, l_linestatus = 'F' AS l_comment_missing FROM {lineitem}) t WHERE l_orderkey <= 2000""")
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'A' AND l_comment_missing THEN 'COMMENT_REQUIRED' END AS error_code FROM (SELECT *, l_linestatus = 'F' AS l_comment_missing FROM {lineitem}) t""")
 
 # Event log, batch twins of the streams
 q("outbox_pending", """

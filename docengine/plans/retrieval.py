@@ -11,6 +11,9 @@ from ..operators import retrieval as r
 from .base import read
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._+/#-]*')"
+#: Points of documents that were labelled as bad are archived; documents are those of the point's hundred, of which every tenth isn't ready.
+ARCHIVED = "(SELECT doc_id FROM labels WHERE quality = 0)"
+
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 CTES = f"""
@@ -22,14 +25,17 @@ df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
 asked AS (SELECT DISTINCT query_id, unnest({TOKENS}) AS token FROM q),
 bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean)))), 6) AS score
   FROM asked JOIN post USING (token) JOIN df USING (token) JOIN len USING (doc_id), corpus GROUP BY query_id, doc_id),
+bma AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm WHERE doc_id NOT IN {ARCHIVED} QUALIFY rank <= 40),
 bmt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 40),
 v AS (SELECT vec_id AS doc_id, embedding AS vector FROM embeddings),
 cs AS (SELECT query_id, v.doc_id, round({DOT.format(a="q.vector", b="v.vector")} / (sqrt({DOT.format(a="q.vector", b="q.vector")}) * sqrt({DOT.format(a="v.vector", b="v.vector")})), 6) AS score FROM v, q),
+csa AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs WHERE score >= 0.25 AND doc_id NOT IN {ARCHIVED} QUALIFY rank <= 40),
 cst AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs WHERE score >= 0.25 QUALIFY rank <= 40),
-fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM cst UNION ALL SELECT query_id, doc_id, rank FROM bmt) GROUP BY query_id, doc_id),
+fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM csa UNION ALL SELECT query_id, doc_id, rank FROM bma) GROUP BY query_id, doc_id),
 fut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 30),
-grp AS (SELECT fut.*, e.label AS parent_id, row_number() OVER (PARTITION BY query_id, coalesce(e.label::VARCHAR, 'point:' || fut.doc_id::VARCHAR) ORDER BY rank) AS k FROM fut LEFT JOIN embeddings e ON fut.doc_id = e.vec_id),
-par AS (SELECT query_id, doc_id, parent_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM grp WHERE k = 1)
+pt AS (SELECT vec_id AS doc_id, vec_id % 100 AS document_id, CASE WHEN vec_id % 7 > 0 THEN label END AS parent_id FROM embeddings),
+grp AS (SELECT fut.*, document_id, parent_id, row_number() OVER (PARTITION BY query_id, document_id, parent_id IS NULL, coalesce(parent_id, fut.doc_id) ORDER BY rank) AS k FROM fut LEFT JOIN pt USING (doc_id)),
+par AS (SELECT query_id, doc_id, document_id, parent_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM grp WHERE k = 1)
 """
 
 
@@ -39,37 +45,54 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return queries.join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id"), read(spark, sf_dir, "documents").select("doc_id", "text"), vectors
 
 
+def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archived = read(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct().withColumn("status", F.lit("ARCHIVED"))
+    both = read(spark, sf_dir, "documents").select("doc_id").union(read(spark, sf_dir, "embeddings").select("vec_id")).distinct()
+    return both.join(archived, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("ACTIVE")).alias("status"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by document and parent; every seventh has no parent."""
+    v = F.col("vec_id")
+    return read(spark, sf_dir, "embeddings").select(v.alias("doc_id"), (v % 100).alias("document_id"), F.when(v % 7 > 0, F.col("label")).alias("parent_id"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.hybrid(*tables(spark, sf_dir), payload=payload(spark, sf_dir))
+
+
 def bm25_topk(spark, sf_dir):
     queries, docs, _ = tables(spark, sf_dir)
-    return r.top(r.bm25(queries, r.postings(docs).persist()), 40).select("query_id", "doc_id", "score", "rank")
+    return r.top(r.bm25(queries, docs), 40).select("query_id", "doc_id", "score", "rank")
 
 
 def cosine_topk_threshold(spark, sf_dir):
     queries, _, vectors = tables(spark, sf_dir)
-    return r.top(r.dense(queries, vectors), 40).select("query_id", "doc_id", "score", "rank")
+    return r.dense(queries, vectors, 40).select("query_id", "doc_id", "score", "rank")
 
 
 def rrf_fusion(spark, sf_dir):
-    return r.hybrid(*tables(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+    return found(spark, sf_dir).select("query_id", "doc_id", "score", "rank")
 
 
 def hybrid_retrieval(spark, sf_dir):
-    parents = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("parent_id"))
-    rows = r.group_by_parent(r.hybrid(*tables(spark, sf_dir)), parents, keep=5)
-    return rows.select("query_id", "doc_id", "parent_id", "score", "rank")
+    rows = r.group_by_parent(found(spark, sf_dir), points(spark, sf_dir), keep=5)
+    return rows.select("query_id", "doc_id", "document_id", "parent_id", "score", "rank")
 
 
 def rerank_lexical(spark, sf_dir):
-    queries, docs, vectors = tables(spark, sf_dir)
-    return r.lexical_rerank(r.hybrid(queries, docs, vectors), queries, docs, 5).select("query_id", "doc_id", "score", "rank")
+    queries, docs, _ = tables(spark, sf_dir)
+    return r.lexical_rerank(found(spark, sf_dir), queries, docs, 5).select("query_id", "doc_id", "score", "rank")
 
 
 def requirement_evidence(spark, sf_dir):
-    """Fusion, rerank, parent grouping: five pieces of evidence for each query."""
-    queries, docs, vectors = tables(spark, sf_dir)
-    ranked = r.lexical_rerank(r.hybrid(queries, docs, vectors), queries, docs, 30)
-    parents = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("parent_id"))
-    return r.group_by_parent(ranked, parents, keep=5).select("query_id", "doc_id", "parent_id", "score", "rank")
+    """Fusion, rerank, hits of ready documents, parent grouping and expansion: five pieces of evidence for each query."""
+    queries, docs, _ = tables(spark, sf_dir)
+    ranked = r.lexical_rerank(found(spark, sf_dir), queries, docs, 30)
+    at = points(spark, sf_dir)
+    ready = at.select("document_id").distinct().where("document_id % 10 > 0")
+    rows = r.expand(ranked, at, ready, docs.withColumnRenamed("doc_id", "parent_id"), docs, 5)
+    return rows.select("query_id", "doc_id", "parent_id", "score", "rank", F.sha2("text", 256).alias("text_sha256"), F.sha2("matched_child_text", 256).alias("matched_sha256"))
 
 
 def lexical_tokens(spark, sf_dir):
@@ -85,10 +108,11 @@ rrt AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 register("bm25_topk", bm25_topk, CTES + "SELECT query_id, doc_id, score, rank::INT AS rank FROM bmt")
 register("cosine_topk_threshold", cosine_topk_threshold, CTES + "SELECT query_id, doc_id, score, rank::INT AS rank FROM cst")
 register("rrf_fusion", rrf_fusion, CTES + "SELECT query_id, doc_id, score, rank::INT AS rank FROM fut")
-register("hybrid_retrieval", hybrid_retrieval, CTES + "SELECT query_id, doc_id, parent_id, score, new_rank::INT AS rank FROM par WHERE new_rank <= 5")
+register("hybrid_retrieval", hybrid_retrieval, CTES + "SELECT query_id, doc_id, document_id, parent_id, score, new_rank::INT AS rank FROM par WHERE new_rank <= 5")
 register("rerank_lexical", rerank_lexical, RERANK + "SELECT query_id, doc_id, score, rank::INT AS rank FROM rrt WHERE rank <= 5")
 register("requirement_evidence", requirement_evidence, RERANK + """
-, rg AS (SELECT rrt.*, e.label AS parent_id, row_number() OVER (PARTITION BY query_id, coalesce(e.label::VARCHAR, 'point:' || rrt.doc_id::VARCHAR) ORDER BY rank) AS k FROM rrt LEFT JOIN embeddings e ON rrt.doc_id = e.vec_id WHERE rank <= 30),
+, rg AS (SELECT rrt.*, document_id, parent_id, row_number() OVER (PARTITION BY query_id, document_id, parent_id IS NULL, coalesce(parent_id, rrt.doc_id) ORDER BY rank) AS k FROM rrt JOIN pt USING (doc_id) WHERE rank <= 30 AND document_id % 10 > 0),
 ro AS (SELECT query_id, doc_id, parent_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM rg WHERE k = 1)
-SELECT query_id, doc_id, parent_id, score, r::INT AS rank FROM ro WHERE r <= 5""")
+SELECT query_id, ro.doc_id, parent_id, score, r::INT AS rank, sha256(coalesce(p.text, c.text)) AS text_sha256, CASE WHEN p.text IS NOT NULL THEN sha256(c.text) END AS matched_sha256
+FROM ro LEFT JOIN documents c ON c.doc_id = ro.doc_id LEFT JOIN documents p ON p.doc_id = parent_id WHERE r <= 5""")
 register("lexical_tokens", lexical_tokens, f"SELECT doc_id, token, count(*) AS tf, round(1 + ln(count(*)), 6) AS weight FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY ALL")

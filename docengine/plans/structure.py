@@ -132,13 +132,13 @@ SELECT doc_id, 'docx_b' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY
 
 
 def rectangles(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey <= 4000")
+    rows = read(spark, sf_dir, "lineitem")
     x, y = (F.col("l_partkey") % 70).cast("double"), (F.col("l_suppkey") % 60).cast("double")
     return rows.select(F.col("l_orderkey").alias("page_id"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity")).alias("x1"), (y + F.col("l_quantity") / 2).alias("y1"), F.lit(97.0).alias("width"), F.lit(83.0).alias("height"))
 
 
 RECTANGLES = """
-r AS (SELECT l_orderkey AS page_id, least((l_partkey % 70)::DOUBLE, 97) AS x0, least((l_suppkey % 60)::DOUBLE, 83) AS y0, least(l_partkey % 70 + l_quantity, 97)::DOUBLE AS x1, least(l_suppkey % 60 + l_quantity / 2, 83)::DOUBLE AS y1 FROM lineitem WHERE l_orderkey <= 4000),
+r AS (SELECT l_orderkey AS page_id, least((l_partkey % 70)::DOUBLE, 97) AS x0, least((l_suppkey % 60)::DOUBLE, 83) AS y0, least(l_partkey % 70 + l_quantity, 97)::DOUBLE AS x1, least(l_suppkey % 60 + l_quantity / 2, 83)::DOUBLE AS y1 FROM lineitem),
 e AS (SELECT DISTINCT page_id, unnest([x0, x1]) AS x FROM r), s AS (SELECT page_id, x, lead(x) OVER (PARTITION BY page_id ORDER BY x) AS rt FROM e),
 i AS (SELECT s.page_id, s.x, s.rt, r.y0, r.y1, max(r.y1) OVER (PARTITION BY s.page_id, s.x ORDER BY r.y0, r.y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s JOIN r ON s.page_id = r.page_id AND r.x0 < s.rt AND r.x1 > s.x WHERE rt IS NOT NULL),
 u AS (SELECT page_id, round(least(1.0, sum(greatest(0.0, y1 - greatest(y0, coalesce(m, 0))) * (rt - x)) / 8051.0)::DOUBLE, 6) AS coverage FROM i GROUP BY page_id)"""
@@ -146,17 +146,18 @@ register("rect_union_area", lambda s, d: geometry.union_area(rectangles(s, d)),
 
 
 def page_quality(spark, sf_dir):
-    pages = read(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.substring("text", 1, 500)).alias("text"))
-    images = rectangles(spark, sf_dir).where("page_id % 5 <> 0")
-    return geometry.page_quality(pages, images).select("page_id", "page_type", "confidence", "requires_ocr", "chars", "coverage", "significant")
+    """Turns as pages, numbered by conversation and turn; the rectangles of the order of that number as images. Some turns are shorter than a page's least text."""
+    number = F.col("conv_id") * 8 + F.col("turn")
+    pages = read(spark, sf_dir, "conversations").groupBy(number.alias("page_id")).agg(F.max("text").alias("text"))
+    return geometry.page_quality(pages, rectangles(spark, sf_dir)).select("page_id", "page_type", "confidence", "requires_ocr", "chars", "coverage", "significant")
 
 
 register("page_quality", page_quality, f"""
 WITH {RECTANGLES},
-p AS (SELECT doc_id AS page_id, length(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 12) ELSE substr(text, 1, 500) END, '\\s', '', 'g'))::BIGINT AS chars FROM documents WHERE doc_id > 0),
+p AS (SELECT conv_id * 8 + turn AS page_id, length(regexp_replace(max(text), '\\s', '', 'g'))::BIGINT AS chars FROM conversations GROUP BY 1),
 g AS (SELECT page_id, count_if((x1 - x0) * (y1 - y0) / 8051 >= 0.02 AND (xr - x0) / 97 >= 0.2 AND (yr - y0) / 83 >= 0.08)::BIGINT AS significant
-  FROM (SELECT *, x0 + l_q AS xr, y0 + l_q / 2 AS yr FROM (SELECT l_orderkey AS page_id, (l_partkey % 70)::DOUBLE AS x0, (l_suppkey % 60)::DOUBLE AS y0, l_quantity AS l_q, least(l_partkey % 70 + l_quantity, 97)::DOUBLE AS x1, least(l_suppkey % 60 + l_quantity / 2, 83)::DOUBLE AS y1 FROM lineitem WHERE l_orderkey <= 4000)) WHERE page_id % 5 <> 0 GROUP BY page_id),
-f AS (SELECT p.page_id, chars, coalesce(CASE WHEN p.page_id % 5 <> 0 THEN coverage END, 0.0) AS coverage, coalesce(significant, 0) AS significant FROM p LEFT JOIN g USING (page_id) LEFT JOIN u USING (page_id)),
+  FROM (SELECT *, x0 + l_q AS xr, y0 + l_q / 2 AS yr FROM (SELECT l_orderkey AS page_id, (l_partkey % 70)::DOUBLE AS x0, (l_suppkey % 60)::DOUBLE AS y0, l_quantity AS l_q, least(l_partkey % 70 + l_quantity, 97)::DOUBLE AS x1, least(l_suppkey % 60 + l_quantity / 2, 83)::DOUBLE AS y1 FROM lineitem)) GROUP BY page_id),
+f AS (SELECT p.page_id, chars, coalesce(coverage, 0.0) AS coverage, coalesce(significant, 0) AS significant FROM p LEFT JOIN g USING (page_id) LEFT JOIN u USING (page_id)),
 k AS (SELECT *, CASE WHEN chars = 0 AND NOT (coverage >= 0.6 OR significant > 0) THEN 'empty' WHEN chars < 20 AND (coverage >= 0.6 OR significant > 0) THEN 'scanned' WHEN coverage >= 0.35 THEN 'mixed' ELSE 'text' END AS page_type FROM f)
 SELECT page_id, page_type, round(CASE page_type WHEN 'empty' THEN 1.0 WHEN 'scanned' THEN greatest(0.5, coverage) WHEN 'mixed' THEN greatest(0.5, least(1.0, (least(1.0, chars / 20.0) + coverage) / 2)) ELSE greatest(0.5, 0.8 + 0.2 * least(1.0, chars / 20.0)) END, 6)::DOUBLE AS confidence,
   page_type IN ('scanned', 'mixed') AS requires_ocr, chars, coverage, significant FROM k""")

@@ -25,7 +25,7 @@ register("fingerprint", on("benchmark", lambda x: ["item_id", text.fingerprint(x
 register("embedding_hash", on("documents", lambda x: ["doc_id", text.embedding_hash(F.lit("model-a"), F.lit(1024), x).alias("embedding_hash")]), "SELECT doc_id, sha256('model-a' || chr(31) || '1024' || chr(31) || text) AS embedding_hash FROM documents")
 register("structural_hash", on("conversations", lambda x: ["conv_id", "turn", text.structural_hash(F.array("role"), F.array(F.lit("A"), F.col("role")), F.lit("markdown")).alias("structural_hash")]), """SELECT conv_id, turn, sha256('{"block_types":["' || role || '"],"section_path":["A","' || role || '"],"source_type":"markdown"}') AS structural_hash FROM conversations""")
 register("parent_anchor", on("conversations", lambda x: ["conv_id", "turn", text.parent_anchor(F.lit("docx"), F.array(F.lit("A"), F.col("role")), F.array("role"), F.sha2("text", 256)).alias("anchor")]), "SELECT conv_id, turn, sha256('docx' || chr(31) || 'A' || chr(30) || role || chr(31) || role || chr(31) || sha256(text)) AS anchor FROM conversations")
-register("section_ids", on("conversations", lambda x: ["conv_id", "turn", text.section_id(F.when(F.col("turn") % 2 == 0, F.array(F.lit("Straße"), F.col("role"))).otherwise(F.array().cast("array<string>")), F.when(F.col("turn") % 3 == 0, F.col("turn"))).alias("section_id")]), "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'section:' || substr(sha256('strasse > ' || role), 1, 16) WHEN turn % 3 = 0 THEN 'page:' || turn::VARCHAR ELSE 'document' END AS section_id FROM conversations")
+register("section_ids", on("conversations", lambda x: ["conv_id", "turn", text.section_id(F.when(F.col("turn") % 2 == 0, F.array(F.lit("Straße"), F.col("role"))).otherwise(F.array().cast("array<string>")), F.when(F.col("turn") % 3 == 0, F.col("turn"))).alias("section_id")]), "SELECT conv_id, turn, 'section:' || substr(sha256(CASE WHEN turn % 2 = 0 THEN 'strasse > ' || role WHEN turn % 3 = 0 THEN 'page:' || turn::VARCHAR ELSE 'document' END), 1, 16) AS section_id FROM conversations")
 UUID = """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || doc_id)) AS h FROM documents)
 SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h"""
 register("uuid5_ids", on("documents", lambda x: ["doc_id", text.uuid5(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"))).alias("uuid")]), UUID)
@@ -33,7 +33,6 @@ register("token_estimate", on("documents", lambda x: ["doc_id", text.token_estim
 register("word_count_unicode", on("documents", lambda x: ["doc_id", text.word_count(x).alias("words")]), "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+'))::BIGINT AS words FROM documents")
 register("text_quality", on("documents", lambda x: ["doc_id", text.visible_count(x).alias("visible"), text.garbled_count(x).alias("garbled"), F.round(text.garbled_count(x) / F.greatest(F.lit(1), text.visible_count(x)), 6).alias("garbled_ratio")]), "SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS visible, len(regexp_extract_all(regexp_replace(text, '\\s', '', 'g'), '[\\x{FFFD}\\p{Cc}]'))::BIGINT AS garbled, round(len(regexp_extract_all(regexp_replace(text, '\\s', '', 'g'), '[\\x{FFFD}\\p{Cc}]')) / greatest(1, length(regexp_replace(text, '\\s', '', 'g')))::DOUBLE, 6) AS garbled_ratio FROM documents")
 register("casefold", on("documents", lambda x: ["doc_id", F.sha2(text.casefold(x), 256).alias("folded")]), f"SELECT doc_id, sha256({FOLD.format(x='text')}) AS folded FROM documents")
-register("casefold_full", on("documents", lambda x: ["doc_id", F.sha2(text.casefold_full(x), 256).alias("folded")]), f"SELECT doc_id, sha256({FOLD.format(x='text')}) AS folded FROM documents")
 register("whitespace_squeeze", on("documents", lambda x: ["doc_id", F.sha2(text.squeeze(x), 256).alias("squeezed")]), f"SELECT doc_id, sha256({SQUEEZE.format(x='text')}) AS squeezed FROM documents")
 register("context_prefix", on("documents", lambda x: ["doc_id", F.sha2(text.context_prefix(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.col("lang"), F.array("source"), x), 256).alias("embedding_text")]), "SELECT doc_id, sha256('Document: Doc ' || doc_id::VARCHAR || chr(10) || 'Version: ' || lang || chr(10) || 'Section: ' || source || chr(10) || chr(10) || text) AS embedding_text FROM documents")
 register("query_text", on("benchmark", lambda x: ["item_id", F.format_string("Category: %s\nRequirement: %s", F.lit("general"), x).alias("query_text")]), "SELECT item_id, 'Category: general' || chr(10) || 'Requirement: ' || text AS query_text FROM benchmark")
@@ -76,3 +75,9 @@ def requirement_keys(spark, sf_dir):
 
 
 register("requirement_keys", requirement_keys, f"SELECT conv_id, turn, 'REQ-' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn))::VARCHAR, 4, '0') AS requirement_key, sha256({FOLD.format(x=SQUEEZE.format(x='text'))}) AS fingerprint FROM conversations")
+register("code_and_category", lambda s, d: read(s, d, "customer").select("c_custkey", text.code(F.lower("c_name")).alias("code"), text.category(F.concat(F.lit(" "), "c_mktsegment", F.lit("\t"))).alias("category")), "SELECT c_custkey, upper(lower(c_name)) AS code, lower(c_mktsegment) AS category FROM customer")
+register(
+    "content_types",
+    lambda s, d: read(s, d, "documents").select("doc_id", text.content_type(F.concat("source", F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".docx", ".md", ".markdown", ".exe")]), (F.col("doc_id") % 5 + 1).cast("int"))), F.when(F.col("doc_id") % 3 == 0, "application/octet-stream").when(F.col("doc_id") % 3 == 1, "text/plain")).alias("content_type")),
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'text/plain' ELSE ['application/pdf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'text/markdown', 'text/markdown', NULL][doc_id % 5 + 1] END AS content_type FROM documents""",
+)

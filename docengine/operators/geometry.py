@@ -26,8 +26,11 @@ def union_area(rectangles: DataFrame) -> DataFrame:
     return parts.groupBy("page_id").agg(F.round(F.least(F.lit(1.0), F.sum("area") / F.max(F.col("width") * F.col("height"))), 6).alias("coverage"))
 
 
-def page_quality(pages: DataFrame, images: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Type, confidence and measures of ``pages`` (page_id, text, width, height) with ``images`` (page_id, x0, y0, x1, y1, width, height)."""
+def page_quality(pages: DataFrame, images: DataFrame, cfg: Settings = DEFAULTS, texts: DataFrame | None = None) -> DataFrame:
+    """Type, confidence and measures of ``pages`` (page_id, text) with ``images`` and ``texts``, the boxes of text (page_id, x0, y0, x1, y1, width, height).
+
+    Coverages are shares of the page: of all images, of the significant ones, and of text boxes (0 where none are given).
+    """
     sized = images.withColumn("area", scalar.area_ratio(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")]))
     large = (F.col("area") >= cfg.image_area) & ((F.col("x1") - F.col("x0")) / F.col("width") >= cfg.image_width) & ((F.col("y1") - F.col("y0")) / F.col("height") >= cfg.image_height)
     facts = sized.groupBy("page_id").agg(F.count_if(large).alias("significant"), F.round(F.max("area"), 6).alias("largest"))
@@ -35,10 +38,12 @@ def page_quality(pages: DataFrame, images: DataFrame, cfg: Settings = DEFAULTS)
     rows = pages.withColumn("visible", text.visible_count(x)).withColumn("garbled_chars", text.garbled_count(x)).withColumn("words", text.word_count(x))
     rows = rows.withColumn("chars", F.col("visible") - F.col("garbled_chars")).withColumn("garbled", F.when(F.col("visible") > 0, F.col("garbled_chars") / F.col("visible")).otherwise(F.lit(0.0)))
     rows = rows.join(facts, "page_id", "left").join(union_area(images), "page_id", "left")
+    rows = rows.join(union_area(sized.where(large)).withColumnRenamed("coverage", "significant_coverage"), "page_id", "left")
+    rows = rows.withColumn("text_coverage", F.lit(None).cast("double")) if texts is None else rows.join(union_area(texts).withColumnRenamed("coverage", "text_coverage"), "page_id", "left")
     rows = rows.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("significant", F.coalesce("significant", F.lit(0)))
     kind = scalar.page_class(F.col("chars"), F.col("garbled"), F.col("coverage"), F.col("significant") > 0, cfg)
     rows = rows.withColumn("page_type", kind).withColumn("requires_ocr", F.col("page_type").isin("scanned", "mixed"))
-    return rows.select("page_id", "page_type", scalar.page_confidence(F.col("page_type"), F.col("chars"), F.col("garbled"), F.col("coverage"), cfg).alias("confidence"), "requires_ocr", "chars", "words", F.round("garbled", 6).alias("garbled_ratio"), "coverage", "significant", F.coalesce("largest", F.lit(0.0)).alias("largest_image"))
+    return rows.select("page_id", "page_type", scalar.page_confidence(F.col("page_type"), F.col("chars"), F.col("garbled"), F.col("coverage"), cfg).alias("confidence"), "requires_ocr", "chars", "words", F.round("garbled", 6).alias("garbled_ratio"), "coverage", "significant", F.coalesce("largest", F.lit(0.0)).alias("largest_image"), F.coalesce("significant_coverage", F.lit(0.0)).alias("significant_coverage"), F.coalesce("text_coverage", F.lit(0.0)).alias("text_coverage"))
 
 
 def document_type(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 DECISIONS = "doc_id long, chunk_id string, position int, kind string, old_chunk_id string, old_position int"
 RULES = (("UNCHANGED", ("chunk_id", "embedding_hash")), ("MOVED", ("embedding_hash",)), ("MODIFIED", ("chunk_id",)), ("MODIFIED", ("structural_hash",)))
 
@@ -61,9 +63,11 @@ def diff_unique(old: DataFrame, new: DataFrame) -> DataFrame:
         for n in names[1:]:
             on = on & (left[pairs[n]] == rest[n])
         hit = rest.join(left, on).select(rest["doc_id"], "chunk_id", "position", F.lit(kind).alias("kind"), "old_chunk_id", "old_position")
+        # Written, so that a rule's plan doesn't hold all rules before it.
+        hit = written(hit, "diff-hit")
         found.append(hit)
-        rest = rest.join(hit.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti")
-        left = left.join(hit.select("doc_id", "old_chunk_id"), ["doc_id", "old_chunk_id"], "left_anti")
+        rest = written(rest.join(hit.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti"), "diff-new")
+        left = written(left.join(hit.select("doc_id", "old_chunk_id"), ["doc_id", "old_chunk_id"], "left_anti"), "diff-old")
     none = F.lit(None)
     found.append(rest.select("doc_id", "chunk_id", "position", F.lit("ADDED").alias("kind"), none.cast("string").alias("old_chunk_id"), none.cast("int").alias("old_position")))
     found.append(left.select("doc_id", none.cast("string").alias("chunk_id"), none.cast("int").alias("position"), F.lit("DELETED").alias("kind"), "old_chunk_id", "old_position"))

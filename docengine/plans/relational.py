@@ -10,9 +10,6 @@ from .base import sql_query as q
 
 # Scans, filters, listings
 q("table_scan_by_key", "SELECT o_orderkey, o_custkey, o_orderstatus FROM {orders} WHERE o_orderkey = 1000")
-q("rfp_list_page", """
-  SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate FROM {orders}
-  WHERE o_orderstatus IN ('O', 'P') AND contains(o_orderpriority, 'URG') ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""")
 q("rfp_count", "SELECT o_orderstatus, count(*) AS n FROM {orders} WHERE o_orderstatus <> 'F' AND o_orderpriority LIKE '%URG%' GROUP BY o_orderstatus")
 q("customer_search", """
   SELECT c_custkey, c_name, c_mktsegment FROM {customer}
@@ -25,7 +22,7 @@ q("blank_search_keeps_all", """
 q("active_reference", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN concat('RFP-', CAST(o_orderkey AS STRING)) END AS active_reference FROM {orders}")
 q("ready_documents", """
   SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'READY' WHEN l.quality = 0 THEN 'FAILED' ELSE 'PENDING' END AS status
-  FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""")
+  FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE coalesce(l.quality, 1) = 1""")
 q("event_exists", "SELECT c.c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {events} e WHERE e.user_id = c.c_custkey AND e.event_type = 'error')")
 q("null_safe_defaults", "SELECT page_id, coalesce(nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ''), 'Untitled knowledge document') AS title FROM {pages}")
 q("type_guarded_payload", """
@@ -150,11 +147,6 @@ q("retry_routing", """
     CASE WHEN o_orderstatus = 'F' THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'rfp.uploaded' WHEN '2-HIGH' THEN 'rfp.completed' WHEN '3-MEDIUM' THEN 'rfp.requirements.extracted' WHEN '4-NOT SPECIFIED' THEN 'rfp.capabilities.evaluated' END END AS topic FROM {orders}""")
 q("delete_cascade", """
   SELECT o.o_orderkey, 'ARCHIVED' AS rfp_status, l.l_linenumber, CASE WHEN l.l_linestatus = 'O' THEN 'CANCELLED' ELSE 'KEPT' END AS run_status FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'P'""")
-q("citation_validation", """
-  SELECT l_orderkey, CASE WHEN size(array_distinct(sel)) < size(sel) THEN 'DUPLICATE_SELECTED' WHEN size(array_except(sel, avail)) > 0 THEN 'UNKNOWN_SELECTED' WHEN size(sel) = 0 THEN 'NOTHING_SELECTED' ELSE 'OK' END AS finding FROM (
-    SELECT l_orderkey, collect_list(CASE WHEN l_linestatus = 'O' THEN l_suppkey % 5 END) AS avail, collect_list(CASE WHEN l_returnflag = 'A' THEN l_suppkey % 7 END) AS sel FROM {lineitem} GROUP BY l_orderkey) t""", """
-  SELECT l_orderkey, CASE WHEN len(list_distinct(sel)) < len(sel) THEN 'DUPLICATE_SELECTED' WHEN len(list_filter(sel, lambda x: NOT list_contains(avail, x))) > 0 THEN 'UNKNOWN_SELECTED' WHEN len(sel) = 0 THEN 'NOTHING_SELECTED' ELSE 'OK' END AS finding FROM (
-    SELECT l_orderkey, coalesce(list(l_suppkey % 5) FILTER (l_linestatus = 'O'), []) AS avail, coalesce(list(l_suppkey % 7) FILTER (l_returnflag = 'A'), []) AS sel FROM {lineitem} GROUP BY l_orderkey) t""")
 q("json_merge", """
   SELECT event_id, to_json(map_from_entries(array_sort(map_entries(map_concat(map_filter(from_json(props, 'map<string,int>'), (k, v) -> k <> 'done'), map('done', 1)))))) AS summary FROM {events}""", """
   SELECT event_id, '{"done":1,"k":' || json_extract_string(props, '$.k') || '}' AS summary FROM {events}""")

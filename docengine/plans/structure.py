@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import text
-from ..operators import blocks, chunks, geometry, incremental, layout
+from ..operators import blocks, chunks, geometry, incremental, layout, listing, models
 from ..sources import files
 from .base import read
 
@@ -293,3 +293,56 @@ def binary_split_sizes(spark, sf_dir):
 
 
 register("binary_split_sizes", binary_split_sizes)
+
+
+def listed(spark, sf_dir):
+    rows = listing.filtered(read(spark, sf_dir, "orders"), o_orderstatus=["O", "P"])
+    return listing.matching(rows, " URG ", "o_orderpriority", "o_orderstatus")
+
+
+def rfp_list_page(spark, sf_dir):
+    rows, _ = listing.page(listed(spark, sf_dir), [F.desc("o_orderdate"), F.col("o_orderkey")], 20, 40)
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+
+
+LISTED = "FROM orders WHERE o_orderstatus IN ('O', 'P') AND contains(o_orderpriority, 'URG')"
+register("rfp_list_page", rfp_list_page, f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate {LISTED} ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+register("rfp_list_total", lambda s, d: listing.page(listed(s, d), [F.col("o_orderkey")], 20)[1], f"SELECT count(*) AS n {LISTED}")
+
+
+def ingest_duplicates(spark, sf_dir):
+    """Documents, and once more with spaces at the end: copies by content, not by checksum."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    again = docs.select((F.col("doc_id") + 10_000_000_000).alias("doc_id"), F.concat("text", F.lit("  \n")).alias("text"))
+    return listing.ingest(docs.unionByName(again))
+
+
+register("ingest_duplicates", ingest_duplicates, """
+WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 10000000000, text || '  ' || chr(10) FROM documents),
+h AS (SELECT doc_id, sha256(text) AS c, trim(regexp_replace(regexp_replace(text, '[\\t ]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS n FROM d),
+f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS a, min(doc_id) OVER (PARTITION BY n) AS b FROM h)
+SELECT doc_id, CASE WHEN a < doc_id THEN a WHEN b < doc_id THEN b END AS duplicate_of, CASE WHEN a < doc_id THEN 'CHECKSUM' WHEN b < doc_id THEN 'CONTENT' END AS reason FROM f""")
+
+
+def citation_validation(spark, sf_dir):
+    """Orders as judgments: suppliers of open lines are available, those of accepted lines selected; even orders need a review."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("available"), F.collect_list(F.when(F.col("l_returnflag") == "A", F.col("l_suppkey"))).alias("selected"))
+    rows = rows.withColumn("status", F.when(F.col("l_orderkey") % 2 == 0, "NEED_REVIEW").otherwise("SUPPORTED"))
+    return models.citations(rows).select("l_orderkey", "error_code")
+
+
+register("citation_validation", citation_validation, """
+SELECT l_orderkey, CASE WHEN len(list_distinct(a)) < len(a) THEN 'DUPLICATE_AVAILABLE' WHEN len(list_distinct(s)) < len(s) THEN 'DUPLICATE_SELECTED' WHEN len(list_filter(s, lambda x: NOT list_contains(a, x))) > 0 THEN 'UNKNOWN_SELECTED'
+  WHEN l_orderkey % 2 = 1 AND len(s) = 0 THEN 'NOTHING_SELECTED' END AS error_code
+FROM (SELECT l_orderkey, coalesce(list(l_suppkey) FILTER (l_linestatus = 'O'), []) AS a, coalesce(list(l_suppkey) FILTER (l_returnflag = 'A'), []) AS s FROM lineitem GROUP BY l_orderkey)""")
+
+
+def token_counts(spark, sf_dir):
+    """Tokens of whole documents by a public file of byte-pair ranks."""
+    import public_tokenizers
+
+    return chunks.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+register("token_counts", token_counts)

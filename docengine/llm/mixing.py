@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, checked_broadcast, need, release
+from ._common import Scratch, checked_broadcast, need, release, small_enough
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -148,9 +148,13 @@ def repeat(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) ->
     copies = taken.join(where, (F.col("n") == F.col("pn")) & (F.col("begin") == F.col("pb"))).where(2 * F.col("taken") >= F.col("size"))
     copies = scratch.table(copies.groupBy("r").agg(F.collect_list("slot").alias("slots")), "copies")
     release(docs.sparkSession)
-    # Rows move twice, to their slots and into ranges of these: written between, so that the files of one move go before the next.
-    both = scratch.table(rows.join(copies, F.col("row_id") == F.col("r")).select("row", "row_id", F.explode("slots").alias("slot")), "both")
-    release(docs.sparkSession)
-    scratch.drop("rows", "copies")
+    # Where the slots are small enough to be told to all tasks, rows move once, into ranges of slots. Else they move to their slots before, and are
+    # written between, so that the files of one move go before the next.
+    small = small_enough(copies, 40)
+    both = rows.join(F.broadcast(copies) if small else copies, F.col("row_id") == F.col("r")).select("row", "row_id", F.explode("slots").alias("slot"))
+    if not small:
+        both = scratch.table(both, "both")
+        release(docs.sparkSession)
+        scratch.drop("rows", "copies")
     placed = both.repartitionByRange("slot", "row_id").sortWithinPartitions("slot", "row_id")
     return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in own])

@@ -409,12 +409,14 @@ def test_the_points_shape_the_mix(spark, docs, monkeypatch):
     assert before != after
 
 
-def test_repeated_rows_come_in_slot_order(spark, docs):
+def test_repeated_rows_come_in_slot_order(spark, docs, monkeypatch):
     rows = mixing.mix(docs, block_words=16).where("taken >= size").select("doc_id", "first_slot").collect()
     first = {r.doc_id: r.first_slot for r in rows}
     got = [r.doc_id for r in mixing.repeat(docs, block_words=16).collect()]
     seen = [d for i, d in enumerate(got) if d in first and d not in got[:i]]
     assert seen == sorted(seen, key=first.__getitem__)
+    monkeypatch.setattr(mixing, "small_enough", lambda *_: False)
+    assert [r.doc_id for r in mixing.repeat(docs, block_words=16).collect()] == got
 
 
 def test_fingerprints_and_components(spark, docs, empty):

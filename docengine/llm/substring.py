@@ -214,9 +214,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     often = scratch.table(runs.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("times")).where("times > 1"), "often")
     line = max(HOT, runs.count() // SLICES)
     top = often.where(F.col("times") > line).select(F.col("a").alias("top")).limit(SLICES)
-    marked = runs.join(F.broadcast(top), F.col("anchor") == F.col("top"), "left")
-    rest = marked.where("top is null").join(often.where(F.col("times") <= line), F.col("anchor") == F.col("a"))
-    shared = rest.select("key", "first", "n", "anchor", (F.col("times") > HOT).alias("hot")).unionByName(marked.where("top is not null").select("key", "first", "n", "anchor", F.lit(True).alias("hot")))
+    very, few = (runs.join(F.broadcast(top), F.col("anchor") == F.col("top"), kind) for kind in ("left_semi", "left_anti"))
+    rest = few.join(often.where(F.col("times") <= line), F.col("anchor") == F.col("a"))
+    shared = rest.select("key", "first", "n", "anchor", (F.col("times") > HOT).alias("hot")).unionByName(very.select("key", "first", "n", "anchor", F.lit(True).alias("hot")))
     shared = scratch.table(shared, "shared")
     release(spark)
     scratch.drop("runs", "often")

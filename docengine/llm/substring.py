@@ -213,8 +213,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = scratch.table(base.select("key", "text").mapInArrow(find, "key long, first int, n int, anchor long"), "runs")
     often = scratch.table(runs.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("times")).where("times > 1"), "often")
     line = max(HOT, runs.count() // SLICES)
-    top = often.where(F.col("times") > line).select(F.col("a").alias("top")).limit(SLICES)
-    very, few = (runs.join(F.broadcast(top), F.col("anchor") == F.col("top"), kind) for kind in ("left_semi", "left_anti"))
+    top = [r["a"] for r in often.where(F.col("times") > line).select("a").collect()]  # fewer than SLICES
+    hot = F.col("anchor").isin(top) if top else F.lit(False)
+    very, few = runs.where(hot), runs.where(~hot)
     rest = few.join(often.where(F.col("times") <= line), F.col("anchor") == F.col("a"))
     shared = rest.select("key", "first", "n", "anchor", (F.col("times") > HOT).alias("hot")).unionByName(very.select("key", "first", "n", "anchor", F.lit(True).alias("hot")))
     shared = scratch.table(shared, "shared")

@@ -22,7 +22,7 @@ WINDOW = 4096
 COMBINATIONS = 6000
 SWEEPS = 30
 #: Texts that a worker encodes at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 TOKENIZED = "doc_id long, part int, n_tokens long, rest int, rest_rank long, full_before long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -142,7 +142,7 @@ def plan(histogram, first_sequence: int, window: int = WINDOW) -> Plan:
     return Plan(window, (of(0) << 44) | of(1), of(2), of(3), line_start, used, sequence, int(tokens.sum()))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, byte_level: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, byte_level: bool = False, cache_entries: int = CACHE_ENTRIES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text) in sequences of at most ``window`` tokens: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     Each document's ids end with ``end_id``; null and empty texts hold just that. Repeated rows are packed each
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, byt
         ranks: dict[int, int] = {}
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in text_slices(texts, SLICE_BYTES):
+            for a, b in text_slices(texts, slice_bytes):
                 rows = []
                 for doc, raw in zip(ids[a:b], work.encode(texts.slice(a, b - a))):
                     n = len(raw) // 2 + 1

@@ -22,4 +22,4 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import relational, retrieval, structure, texts  # noqa: F401
+    from .plans import relational, reports, retrieval, structure, texts  # noqa: F401

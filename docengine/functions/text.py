@@ -146,8 +146,8 @@ def item_id(x: Column) -> Column:
 
 
 def markdown_cell(x: Column) -> Column:
-    """Stripped, bars escaped, lines joined by a space."""
-    return F.replace(F.regexp_replace(strip(x), "[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
+    """Stripped, bars escaped, lines joined by a space: each line break, as Python splits lines, becomes one."""
+    return F.replace(F.regexp_replace(strip(x), r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]", " "), F.lit("|"), F.lit("\\|"))
 
 
 def ascii_name(x: Column) -> Column:

@@ -39,7 +39,7 @@ register("query_text", on("benchmark", lambda x: ["item_id", F.format_string("Ca
 register("rerank_text", on("documents", lambda x: ["doc_id", F.sha2(F.concat(F.lit("Title: "), F.col("source"), F.lit("\nCategory: "), F.col("lang"), F.lit("\nSection: Unsectioned\nEvidence: "), F.substring("text", 1, 1200)), 256).alias("rerank_text")]), "SELECT doc_id, sha256('Title: ' || source || chr(10) || 'Category: ' || lang || chr(10) || 'Section: Unsectioned' || chr(10) || 'Evidence: ' || substr(text, 1, 1200)) AS rerank_text FROM documents")
 register("snippets", on("documents", lambda x: ["doc_id", F.substring("text", 1, 200).alias("snippet")]), "SELECT doc_id, substr(text, 1, 200) AS snippet FROM documents")
 register("item_ids", on("benchmark", lambda x: ["item_id", text.item_id(F.concat(F.lit("B-0"), F.col("item_id").cast("string"), F.lit(" "), x)).alias("key")]), "SELECT item_id, CASE WHEN length(item_id::VARCHAR) >= 1 THEN 'B-0' || item_id::VARCHAR END AS key FROM benchmark")
-register("markdown_cells", on("pages", lambda x: ["page_id", F.sha2(text.markdown_cell(F.col("html")), 256).alias("cell")]), "SELECT page_id, sha256(replace(regexp_replace(regexp_replace(html, '^\\s+|\\s+$', '', 'g'), '[\\r\\n]+', ' ', 'g'), '|', '\\|')) AS cell FROM pages")
+register("markdown_cells", on("pages", lambda x: ["page_id", F.sha2(text.markdown_cell(F.col("html")), 256).alias("cell")]), "SELECT page_id, sha256(replace(regexp_replace(regexp_replace(html, '^\\s+|\\s+$', '', 'g'), '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', ' ', 'g'), '|', '\\|')) AS cell FROM pages")
 register("file_names", on("pages", lambda x: ["page_id", text.ascii_name(F.col("url")).alias("ascii_name")]), "SELECT page_id, substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 200) AS ascii_name FROM pages")
 register("unicode_file_names", on("pages", lambda x: ["page_id", text.unicode_name(F.col("url")).alias("name")]), "SELECT page_id, substr(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 80) AS name FROM pages")
 register("markdown_source", on("pages", lambda x: ["page_id", F.sha2(text.strip(F.regexp_replace(F.regexp_replace("html", "^\\x{FEFF}", ""), "\r\n|\r", "\n")), 256).alias("text_hash"), F.col("html").rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]").alias("has_control")]), "SELECT page_id, sha256(regexp_replace(regexp_replace(html, '\\r\\n|\\r', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_hash, regexp_matches(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS has_control FROM pages")

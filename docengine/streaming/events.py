@@ -5,7 +5,7 @@ Each has a batch twin among the queries; tests run both over the same rows with
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,9 @@ from ..functions import scalar
 
 EVENT = "event_id bigint, event_type string, entity_id bigint, occurred_at timestamp, payload string"
 STATE = "entity_id bigint, stage string, events bigint"
+#: The stages of a request in order, and the one that may come between.
+STAGES = tuple(scalar.PROGRESS)
+FAILED = "failed"
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENT, **options: str) -> DataFrame:
@@ -44,8 +47,9 @@ def parse(raw: DataFrame, schema: str = EVENT) -> tuple[DataFrame, DataFrame]:
 
 
 def once(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each event id once; ids are remembered for ``delay`` of event time."""
-    return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """Each event id once, or once for each ``consumer_group`` where there is such a column; ids are remembered for ``delay`` of event time."""
+    key = [c for c in ("consumer_group",) if c in events.columns] + ["event_id"]
+    return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(key)
 
 
 def window_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -58,23 +62,40 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", delay: str = "1 h
     return events.withWatermark("occurred_at", delay).groupBy(w.alias("w"), "entity_id").agg(F.count("*").alias("n")).select("entity_id", F.col("w.start").alias("began"), "n")
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    at, last_id, stage, n = state.get if state.exists else (-1, -1, "", 0)
-    for frame in frames:
-        for row in frame.sort_values(["occurred_at", "event_id"]).itertuples():
-            n += 1
-            moment = int(row.occurred_at.value)
-            if (moment, row.event_id) > (at, last_id):  # late events never bring an older stage back
-                at, last_id, stage = moment, int(row.event_id), row.event_type
-    state.update((at, last_id, stage, n))
-    yield pd.DataFrame([(key[0], stage, n)], columns=["entity_id", "stage", "events"])
+def _advance(order: Sequence[str] | None):
+    place = {x: i for i, x in enumerate(order or ())}
 
+    def allowed(now: str, then: str) -> bool:
+        if order is None or then == now == FAILED:
+            return order is None
+        if then == FAILED:
+            return now != order[-1]
+        return then in place and (now in ("", FAILED) or place[then] > place[now])
 
-def stage_state(events: DataFrame) -> DataFrame:
-    """The latest stage of each entity and its events so far, updated as events come."""
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at, last_id, stage, n = state.get if state.exists else (-1, -1, "", 0)
+        # Guards need a key's events of the micro-batch in order of time; the latest event alone is told frame by frame.
+        for frame in frames if order is None else [pd.concat(list(frames))]:
+            for row in frame.sort_values(["occurred_at", "event_id"]).itertuples():
+                n += 1
+                moment = (int(row.occurred_at.value), int(row.event_id))
+                if moment > (at, last_id) and allowed(stage, row.event_type):  # late events never bring an older stage back
+                    (at, last_id), stage = moment, row.event_type
+        state.update((at, last_id, stage, n))
+        yield pd.DataFrame([(key[0], stage, n)], columns=["entity_id", "stage", "events"])
+
+    return run
+
+
+def stage_state(events: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """The latest stage of each entity and its events so far, updated as events come.
+
+    With an ``order`` of stages (``STAGES``) an event counts only where it may follow: a later stage than the present one, ``FAILED`` before the last stage,
+    or any stage after a failure. Repeated, older, unknown and late ones change nothing, so a failed entity isn't revived by what came before.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return events.groupBy("entity_id").applyInPandasWithState(_advance, STATE, "at bigint, last_id bigint, stage string, n bigint", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("entity_id").applyInPandasWithState(_advance(order), STATE, "at bigint, last_id bigint, stage string, n bigint", "update", GroupStateTimeout.NoTimeout)
 
 
 def live(events: DataFrame, deleted: DataFrame) -> DataFrame:

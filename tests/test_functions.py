@@ -57,6 +57,9 @@ def test_item_ids_and_cells(spark):
     rows = spark.createDataFrame([("B-001 x",), ("B-1 x",), ("x B-001",)], "t string").select(text.item_id(F.col("t"))).collect()
     assert [r[0] for r in rows] == ["B-001", None, None]
     assert spark.createDataFrame([(" a|b\nc ",)], "t string").select(text.markdown_cell(F.col("t"))).first()[0] == "a\\|b c"
+    case = " a|b\r\nc\n\nd\u2028e\x1cf\x0bg "
+    want = " ".join(case.strip().replace("|", "\\|").splitlines())
+    assert spark.createDataFrame([(case,)], "t string").select(text.markdown_cell(F.col("t"))).first()[0] == want
 
 
 def test_page_classes(spark):

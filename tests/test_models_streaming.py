@@ -55,6 +55,24 @@ def test_stage_state_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stages_follow_their_order(spark, tmp_path):
+    names = ["parse_document", "queued", "document_parsed", "nonsense", "failed", "failed", "extract_requirements"]
+    rows = [(i, x, 1, dt.datetime(2024, 1, 1, 0, i), "") for i, x in enumerate(names)]
+    rows += [(10, "approved", 2, dt.datetime(2024, 1, 1), ""), (11, "failed", 2, dt.datetime(2024, 1, 2), ""), (12, "parse_document", 2, dt.datetime(2024, 1, 3), "")]
+    rows += [(20, "failed", 3, dt.datetime(2024, 1, 2), ""), (21, "queued", 3, dt.datetime(2024, 1, 1), "")]
+    spark.createDataFrame(rows, ev.EVENT).write.parquet(str(tmp_path / "in"))
+    got = run(ev.stage_state(ev.read_events(spark, str(tmp_path / "in")), ev.STAGES), tmp_path, "update", "guarded")
+    assert {r.entity_id: (r.stage, r.events) for r in got.collect()} == {1: ("extract_requirements", 7), 2: ("approved", 3), 3: ("failed", 2)}
+
+
+def test_deduplication_by_consumer_group(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, "x", 1, t, "", g) for g in ("a", "a", "b")]
+    spark.createDataFrame(rows, f"{ev.EVENT}, consumer_group string").write.parquet(str(tmp_path / "in"))
+    source = ev.read_events(spark, str(tmp_path / "in"), f"{ev.EVENT}, consumer_group string")
+    assert run(ev.once(source), tmp_path, "append", "groups").count() == 2
+
+
 def test_deduplication_and_bad_records(spark, tmp_path):
     rows, source = stream(spark, tmp_path)
     assert run(ev.once(source.union(ev.read_events(spark, str(tmp_path / "in"))), "60 days"), tmp_path, "append", "once").count() == rows.count()

@@ -198,7 +198,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     base = need(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    grams = window - 1 if window <= GRAM else GRAM
+    # A run has window - grams + 1 windows at most, whose marks are bits of one long.
+    grams = window - 1 if window <= GRAM else max(GRAM, window - 60)
 
     def find(batches):
         import numpy as np

@@ -648,6 +648,16 @@ def test_repeats_with_hot_anchors(spark, monkeypatch, hot):
     assert [(x.n_words, x.n_removed, x.kept) for x in sorted(rows)] == brute.remove_repeats(texts)
 
 
+@pytest.mark.parametrize("window", [2, 11, 72, 90])
+def test_repeats_of_other_windows(spark, window):
+    r = random.Random(window)
+    passage = [r.choice(WORDLIST) for _ in range(200)]
+    cuts = [(0, 200), (30, 150), (100, 190), (55, 145), (0, 89)]
+    texts = [" ".join([f"w{i}", *passage[a:b], f"v{i}", *[r.choice(WORDLIST) for _ in range(30)]]) for i, (a, b) in enumerate(cuts)]
+    rows = substring.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window).collect()
+    assert [(x.n_words, x.n_removed, x.kept) for x in sorted(rows)] == brute.remove_repeats(texts, window)
+
+
 def test_automaton_counts_all_substrings():
     r = random.Random(4)
     strings = [[r.randint(0, 2) for _ in range(r.randint(1, 25))] for _ in range(12)]

@@ -21,6 +21,10 @@ BLOCK_WORDS = 32
 RANGE_ROWS = 1 << 14
 SLOT_RANGE = 1 << 16
 CELLS = 4096
+#: Bytes of slots that are told to all tasks at most; one more row each makes the rows move instead, so the driver holds no table that grows with the rows.
+TOLD_BYTES = 1 << 18
+#: The same for tables of sources.
+SOURCE_BYTES = 8 << 20
 #: Points are multiples of 1 / CIRCLE; GOLDEN is the odd integer next to CIRCLE times the golden ratio.
 CIRCLE, GOLDEN = 1 << 31, 1327217885
 
@@ -85,7 +89,7 @@ def schedule(spark: SparkSession, plan: DataFrame, block_words: int = BLOCK_WORD
     cells = spans.select("n", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor(F.least(F.col("high"), F.lit(CIRCLE - 1.0)) / cell))).alias("cell"))
     points = spark.range(int(total / block_words + 0.5)).withColumn("point", F.col("id") % CIRCLE * GOLDEN % CIRCLE)
     points = points.withColumn("cell", F.floor(F.col("point") / cell))
-    slots = points.join(checked_broadcast(cells, 64), "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    slots = points.join(checked_broadcast(cells, 64, SOURCE_BYTES), "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     slots = slots.select(F.col("id").alias("slot"), "n", F.floor(F.col("id") / SLOT_RANGE).alias("range"))
     counts = slots.groupBy("n", "range").agg(F.count("*").alias("k"))
     bases = counts.select(F.col("n").alias("m"), F.col("range").alias("g"), (F.sum("k").over(Window.partitionBy("n").orderBy("range")) - F.col("k")).alias("base"))
@@ -106,7 +110,8 @@ def rounds(docs: DataFrame, scratch: Scratch, key: str, block_words: int, *carri
     slots = schedule(spark, plan.select("n", "target"), block_words)
     places = ordered(sized, key)
     facts = plan.select(F.col("source").alias("s"), "n", "source_size")
-    places = places.join(checked_broadcast(facts, 64), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "n", "begin", "source_size", *carried)
+    longest = plan.agg(F.coalesce(F.max(F.octet_length("source")), F.lit(0)).alias("x")).first()["x"]
+    places = places.join(checked_broadcast(facts, 64 + longest, SOURCE_BYTES), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "n", "begin", "source_size", *carried)
     places = scratch.table(places, "places")
     # The source's order, repeated: a document lies there once for each round.
     turns = places.where("size > 0").select("n", "begin", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda r: F.struct(r.alias("round"), (F.col("begin") + r * F.col("source_size")).alias("at")))).alias("t"))
@@ -131,7 +136,8 @@ def mix(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) -> Da
     # Documents without words lie at another's beginning; they aren't taken.
     rows = places.join(sums, (F.col("n") == F.col("tn")) & (F.col("begin") == F.col("tb")) & (F.col("size") > 0), "left").drop("source_size")
     facts = plan.select("source", F.col("n").alias("m"), "source_size", "target")
-    rows = rows.join(checked_broadcast(facts, 64), F.col("n") == F.col("m"))
+    longest = plan.agg(F.coalesce(F.max(F.octet_length("source")), F.lit(0)).alias("x")).first()["x"]
+    rows = rows.join(checked_broadcast(facts, 64 + longest, SOURCE_BYTES), F.col("n") == F.col("m"))
     return rows.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
@@ -148,9 +154,9 @@ def repeat(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) ->
     copies = taken.join(where, (F.col("n") == F.col("pn")) & (F.col("begin") == F.col("pb"))).where(2 * F.col("taken") >= F.col("size"))
     copies = scratch.table(copies.groupBy("r").agg(F.collect_list("slot").alias("slots")), "copies")
     release(docs.sparkSession)
-    # Where the slots are small enough to be told to all tasks, rows move once, into ranges of slots. Else they move to their slots before, and are
+    # Where the slots are few enough to be told to all tasks, rows move once, into ranges of slots. Else they move to their slots before, and are
     # written between, so that the files of one move go before the next.
-    small = small_enough(copies, 40)
+    small = small_enough(copies, 40, TOLD_BYTES)
     both = rows.join(F.broadcast(copies) if small else copies, F.col("row_id") == F.col("r")).select("row", "row_id", F.explode("slots").alias("slot"))
     if not small:
         both = scratch.table(both, "both")

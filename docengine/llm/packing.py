@@ -36,19 +36,27 @@ def combinations(histogram, window: int, most: int = COMBINATIONS):
     a = np.arange(1, window // 2 + 1)
     pairs = np.stack([np.zeros_like(a), a, window - a], axis=1)
     pairs = pairs[(h[pairs[:, 1]] > 0) & (h[pairs[:, 2]] > 0)]
-    found = []
+    room = max(0, most - len(pairs))
+
+    def best(found):
+        triples = np.concatenate(found)
+        if len(triples) <= room:
+            return triples
+        return triples[np.lexsort((triples[:, 1], triples[:, 0], -h[triples].min(axis=1)))[:room]]
+
+    # There are up to window * window / 12 triples; the driver holds a few times ``most`` of them.
+    found, size = [np.zeros((0, 3), dtype=np.int64)], 0
     for x in range(1, window // 3 + 1):
         if h[x]:
             b = np.arange(x, (window - x) // 2 + 1)
             ok = (h[b] > 0) & (h[window - x - b] > 0)
             b = b[ok]
             found.append(np.stack([np.full_like(b, x), b, window - x - b], axis=1))
-    triples = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
-    room = max(0, most - len(pairs))
-    if len(triples) > room:
-        weight = h[triples].min(axis=1)
-        triples = triples[np.lexsort((triples[:, 1], triples[:, 0], -weight))[:room]]
-    return np.concatenate([pairs, triples])
+            size += len(b)
+            if size > 4 * most:
+                found = [best(found)]
+                size = len(found[0])
+    return np.concatenate([pairs, best(found)])
 
 
 def least_squares(combos, histogram, sweeps: int = SWEEPS):

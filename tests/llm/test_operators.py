@@ -669,3 +669,24 @@ def test_automaton_counts_all_substrings():
         for s in strings:
             want = [sum(t[j : j + k] == s[i : i + k] for t in strings for j in range(len(t) - k + 1)) >= 2 for i in range(len(s) - k + 1)]
             assert a.repeats(s, k) == want
+
+
+def test_slots_of_many_rows_are_not_told_to_all_tasks(spark):
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("s").alias("source"))
+    got = mixing.repeat(rows)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 12_000
+
+
+def test_the_plan_of_packing_holds_few_combinations():
+    import tracemalloc
+
+    counts = np.random.default_rng(1).integers(1, 400, packing.WINDOW)
+    tracemalloc.start()
+    combos = packing.combinations(counts, packing.WINDOW)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20 and len(combos) == packing.COMBINATIONS
+    room = packing.COMBINATIONS - packing.WINDOW // 2
+    every = [(-min(counts[a], counts[b], counts[c]), a, b) for a in range(1, 1366) for b in range(a, (4096 - a) // 2 + 1) for c in (4096 - a - b,)]
+    assert [tuple(r[:2]) for r in combos[-room:].tolist()] == [(a, b) for _, a, b in sorted(every)[:room]]

@@ -38,6 +38,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.written: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,6 +46,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back: its lineage ends at the files."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.written.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -54,6 +56,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+            self.written.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*self.written.difference(names))
 
 
 def filesystem(uri: str):
@@ -106,6 +113,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, row_bytes: int | No
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now, not at some later collection."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # The last phase's files go at a later collection than the first: the engine's own events hold its plan for a moment.
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

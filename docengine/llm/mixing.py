@@ -107,7 +107,7 @@ def rounds(docs: DataFrame, scratch: Scratch, key: str, block_words: int, *carri
     sized = need(docs, "doc_id", "text", "source", *carried).select("doc_id", "source", words(F.col("text")).alias("size"), *carried)
     sized = scratch.table(sized, "sized")
     plan = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "plan")
-    slots = schedule(spark, plan.select("n", "target"), block_words)
+    slots = scratch.table(schedule(spark, plan.select("n", "target"), block_words), "slots")
     places = ordered(sized, key)
     facts = plan.select(F.col("source").alias("s"), "n", "source_size")
     longest = plan.agg(F.coalesce(F.max(F.octet_length("source")), F.lit(0)).alias("x")).first()["x"]
@@ -116,10 +116,12 @@ def rounds(docs: DataFrame, scratch: Scratch, key: str, block_words: int, *carri
     # The source's order, repeated: a document lies there once for each round.
     turns = places.where("size > 0").select("n", "begin", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda r: F.struct(r.alias("round"), (F.col("begin") + r * F.col("source_size")).alias("at")))).alias("t"))
     turns = turns.select("n", "begin", "size", "t.round", "t.at")
-    pieces = turns.select("*", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))).alias("block"))
-    hits = pieces.join(slots.withColumnRenamed("n", "of"), (F.col("n") == F.col("of")) & (F.col("block") == F.col("rank")))
-    low, high = F.greatest(F.col("at"), F.col("block") * block_words), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
-    taken = hits.groupBy("n", "begin", "round").agg(F.sum(high - low).alias("taken"), F.min("slot").alias("slot"))
+    # The source's slots have the ranks from 0 to their number less 1, so the mix takes a turn's words up to the end of the last block,
+    # and the slot of its first block is its first slot.
+    turns = turns.withColumn("block", F.floor(F.col("at") / block_words))
+    ends = slots.groupBy(F.col("n").alias("en")).agg((F.count("*") * block_words).alias("end"))
+    hits = turns.join(slots.withColumnRenamed("n", "of"), (F.col("n") == F.col("of")) & (F.col("block") == F.col("rank"))).join(checked_broadcast(ends, 32, SOURCE_BYTES), F.col("n") == F.col("en"))
+    taken = hits.select("n", "begin", "round", (F.least(F.col("at") + F.col("size"), F.col("end")) - F.col("at")).alias("taken"), "slot")
     return places, taken, plan
 
 
@@ -154,6 +156,7 @@ def repeat(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) ->
     copies = taken.join(where, (F.col("n") == F.col("pn")) & (F.col("begin") == F.col("pb"))).where(2 * F.col("taken") >= F.col("size"))
     copies = scratch.table(copies.groupBy("r").agg(F.collect_list("slot").alias("slots")), "copies")
     release(docs.sparkSession)
+    scratch.keep_only("rows", "copies")
     # Where the slots are few enough to be told to all tasks, rows move once, into ranges of slots. Else they move to their slots before, and are
     # written between, so that the files of one move go before the next.
     small = small_enough(copies, 40, TOLD_BYTES)
@@ -161,6 +164,6 @@ def repeat(docs: DataFrame, key: str = "mix", block_words: int = BLOCK_WORDS) ->
     if not small:
         both = scratch.table(both, "both")
         release(docs.sparkSession)
-        scratch.drop("rows", "copies")
+        scratch.keep_only("both")
     placed = both.repartitionByRange("slot", "row_id").sortWithinPartitions("slot", "row_id")
     return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in own])

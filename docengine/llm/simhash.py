@@ -358,4 +358,5 @@ def keep_one(docs: DataFrame, size: int = SIMILAR["size"], least: float = SIMILA
     stay = classes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row_id").alias("keep"))
     # Those that go are fewer: where their ids are small enough to be told to all tasks, no text moves.
     gone = scratch.table(ids.join(stay.hint("merge"), F.col("id") == F.col("keep"), "left_anti").select(F.col("id").alias("gone")), "gone")
+    scratch.keep_only("rows", "gone")
     return rows.join(checked_broadcast(gone, 16), F.col("row_id") == F.col("gone"), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in own])

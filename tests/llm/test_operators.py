@@ -690,3 +690,29 @@ def test_the_plan_of_packing_holds_few_combinations():
     room = packing.COMBINATIONS - packing.WINDOW // 2
     every = [(-min(counts[a], counts[b], counts[c]), a, b) for a in range(1, 1366) for b in range(a, (4096 - a) // 2 + 1) for c in (4096 - a - b,)]
     assert [tuple(r[:2]) for r in combos[-room:].tolist()] == [(a, b) for _, a, b in sorted(every)[:room]]
+
+
+def test_near_dedup_and_mixing_leave_what_their_results_read(spark, docs, monkeypatch, tmp_path):
+    import os
+
+    for name, operator, left in (("keep-one", simhash.keep_one, ["gone", "rows"]), ("mixed", mixing.repeat, ["both"])):
+        monkeypatch.setattr(mixing, "small_enough", lambda *_: False)
+        monkeypatch.setattr("docengine.llm._common.shared_folder", lambda _, n=name: f"file://{tmp_path}/{n}")
+        assert operator(docs).count() > 0
+        (folder,) = (tmp_path / name).iterdir()
+        assert sorted(os.listdir(folder)) == left
+
+
+def test_release_lets_the_last_shuffle_go(spark, tmp_path):
+    from docengine.llm._common import release
+
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("|")
+        return {f for f in files.split("|") if "shuffle_" in f and f.endswith(".data")}
+
+    release(spark)
+    before = shuffled()
+    spark.range(10_000).repartition(5, "id").write.parquet(str(tmp_path / "x"))
+    assert shuffled() - before
+    release(spark)
+    assert not shuffled() - before

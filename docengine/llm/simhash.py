@@ -32,6 +32,8 @@ LEAST_PRINTS = 8
 BLOCK_ROWS = 65_536
 #: Links that a task holds before it cuts them down to a forest, and links of a forest that it sends on.
 HELD, SENT = 1 << 20, 1 << 19
+#: Pairs of texts that are compared at a time, at least; beyond, a quarter of the rows.
+COMPARED = 1 << 16
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -176,22 +178,25 @@ def matches(piece, group, flips, equal: bool):
             at = upto
 
 
-def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows: int = BLOCK_ROWS, name: str = "links") -> DataFrame:
     """(a, b): links that join the same components as all pairs of ``classes`` (id, p0, p1, ...) that meet in a bucket and are within the radius.
 
-    Each task sends a forest of the links that it finds, at most one link less than it has texts with links.
+    Each task sends a forest of the links that it finds, at most one link less than it has texts with links. If ``classes`` have a ``label`` (long),
+    the links are instead all such pairs whose labels differ, each once, in the first segment where it meets.
     """
     prints = [f"p{k}" for k in range(how.prints)]
-    rows = _buckets(classes.select("id", *prints), how)
+    labelled = ["label"] if "label" in classes.columns else []
+    rows = _buckets(classes.select("id", *labelled, *prints), how)
     hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    hot = scratch.table(hot.select(F.col("bucket").alias("h"), F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "hot")
+    hot = scratch.table(hot.select(F.col("bucket").alias("h"), F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), f"{name}-hot")
     # A row of a large bucket lies in one block of it, and meets every block: in the pair of blocks, the smaller first.
     live = rows.join(checked_broadcast(hot, 32), F.col("bucket") == F.col("h"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     live = live.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least("own", t).alias("i"), F.greatest("own", t).alias("j")))
-    dealt = live.select("bucket", "piece", "own", F.explode(pairs).alias("r"), "id", *prints).select("bucket", "r.i", "r.j", "own", "piece", "id", *prints)
+    dealt = live.select("bucket", "piece", "own", F.explode(pairs).alias("r"), "id", *labelled, *prints).select("bucket", "r.i", "r.j", "own", "piece", "id", *labelled, *prints)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    known, radius = tables(how), how.radius
+    known, radius, segments = tables(how), how.radius, how.segments
+    segment = [s for s, (_, _, _, pieces) in enumerate(segments) for _ in range(max(1, pieces))]
 
     def find(batches):
         import numpy as np
@@ -208,7 +213,8 @@ def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows:
         def solve(cols):
             nonlocal held, size
             bucket, i, j, own, piece, ids = (c.astype(np.int64, copy=False) for c in cols[:6])
-            p = np.stack([c.view(np.uint64) for c in cols[6:]], axis=1)
+            label = cols[6].astype(np.int64, copy=False) if labelled else None
+            p = np.stack([c.view(np.uint64) for c in cols[6 + len(labelled) :]], axis=1)
             group = np.cumsum(np.concatenate([[False], (np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
             table = bucket >> 48
             for t in np.unique(table).tolist():
@@ -218,7 +224,14 @@ def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows:
                     apart = (i[x] == j[x]) | (own[x] != own[y])  # rows of one block meet in its own pair
                     distance = np.bitwise_count(p[x] ^ p[y]).sum(axis=1, dtype=np.int16)
                     near = np.flatnonzero(apart & (distance <= radius))
-                    if len(near):
+                    if labelled:
+                        near = near[label[x[near]] != label[y[near]]]
+                        for word, first, bits, pieces in segments[: segment[t]]:
+                            differ = (p[x[near], word] ^ p[y[near], word]) >> np.uint64(first) & np.uint64((1 << bits) - 1)
+                            near = near[np.bitwise_count(differ) > bool(pieces)]
+                        x, y = ids[x[near]], ids[y[near]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    elif len(near):
                         x, y = ids[x[near]], ids[y[near]]
                         held.append((np.minimum(x, y), np.maximum(x, y), distance[near]))
                         size += len(near)
@@ -250,7 +263,8 @@ def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows:
             yield from solve(rest)
         yield sent()
 
-    return scratch.table(dealt.mapInArrow(find, "a long, b long").distinct(), "links")
+    pairs = dealt.mapInArrow(find, "a long, b long")
+    return scratch.table(pairs if labelled else pairs.distinct(), name)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -326,6 +340,20 @@ def near_classes(docs: DataFrame, scratch: Scratch, size: int, least: float, rec
     release(docs.sparkSession)
     sure = scratch.table(alike(found, texts, size, least), "sure")
     labels = components(sure, scratch)
+    # A forest of candidates may hold pairs that aren't similar in place of one that is: all other candidates between groups are compared, too.
+    live = classes.join(checked_broadcast(ends, 16), "id", "left_semi").join(labels, F.xxhash64("id") == F.col("node"), "left")
+    between = links(live.select("id", F.coalesce("label", F.xxhash64("id")).alias("label"), *names), scratch, how, name="between")
+    release(docs.sparkSession)
+    between = scratch.table(between.join(found, ["a", "b"], "left_anti"), "uncompared")
+    parts = ceil(between.count() / max(COMPARED, classes.count() // 4))
+    for k in range(parts):
+        part = between.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
+        if k:
+            part = part.join(labels.toDF("x", "u"), F.xxhash64("a") == F.col("x"), "left").join(labels.toDF("y", "v"), F.xxhash64("b") == F.col("y"), "left")
+            part = part.where(F.coalesce("u", F.xxhash64("a")) != F.coalesce("v", F.xxhash64("b"))).select("a", "b")
+        sure = sure.union(scratch.table(alike(part, texts, size, least), f"sure{k}"))
+        labels = components(sure, scratch)
+        release(docs.sparkSession)
     told = classes.join(labels, F.xxhash64("id") == F.col("node"), "left").select("digest", "first", F.coalesce("label", F.xxhash64("id")).alias("label"))
     return table.select("id", "digest"), scratch.table(told, "told")
 
@@ -334,7 +362,7 @@ def near_copies(docs: DataFrame, size: int = SIMILAR["size"], least: float = SIM
     """For each of ``docs`` (doc_id, text), whose ids are distinct: doc_id, component_id (the smallest doc_id that links of near copies reach).
 
     Near copies have word shingles of Jaccard similarity ``least`` or more. SimHash tables find the candidates, ``recall`` of the
-    pairs of just this similarity; the exact similarity decides about each link of the tasks' forests. Null and empty texts, and texts without words, are
+    pairs of just this similarity; the exact similarity decides about each candidate, until all between different groups are compared. Null and empty texts, and texts without words, are
     copies of each other. Texts of equal shingle sets are one class. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")

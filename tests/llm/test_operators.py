@@ -716,3 +716,52 @@ def test_release_lets_the_last_shuffle_go(spark, tmp_path):
     assert shuffled() - before
     release(spark)
     assert not shuffled() - before
+
+
+def test_similar_texts_are_linked_though_nearer_candidates_fail(spark):
+    """Of each three texts the first two have similarity 0.81; both lie nearer to the third by SimHash, whose similarity to them is 0.79."""
+    texts = []
+    for seed in (3, 7, 11, 34, 40, 41, 55, 57):
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        b = w[:10] + [f"b{r.randrange(10**6)}" for _ in range(6)] + w[16:]
+        c = w[:10] + [f"c{r.randrange(10**6)}" for _ in range(7)] + w[17:]
+        texts += [" ".join(x) for x in (w, b, c)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(simhash.near_copies(rows).collect())
+    assert got == {i: i - (i % 3 == 1) for i in range(len(texts))}
+    kept = simhash.keep_one(rows).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in range(len(texts)) if i % 3 != 1]
+
+
+def test_uncompared_candidates_in_parts(spark, monkeypatch):
+    """Mutations of one text around the threshold: the groups are those of all candidates, however many are compared at a time."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    texts = []
+    for _ in range(60):
+        w, at = list(base), r.randrange(93)
+        w[at : at + 5] = [f"x{r.randrange(10**6)}" for _ in range(5)]
+        texts.append(" ".join(w))
+    how = simhash.layout(len(texts))
+    sets = [np.unique(simhash.shingles(t, 5)) for t in texts]
+    prints = [simhash.votes(s, how.prints) for s in sets]
+
+    def candidate(p, q):
+        near = sum((x ^ y).bit_count() for x, y in zip(p, q)) <= how.radius
+        return near and any((((p[k] ^ q[k]) >> f) & ((1 << n) - 1)).bit_count() <= 1 for k, f, n, _ in how.segments)
+
+    group = list(range(len(texts)))
+    failed = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if candidate(prints[a], prints[b]):
+                if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                    group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+                else:
+                    failed += 1
+    assert failed > 100 and len(set(group)) > 5
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for compared in (simhash.COMPARED, 400):
+        monkeypatch.setattr(simhash, "COMPARED", compared)
+        assert dict(simhash.near_copies(rows).collect()) == dict(enumerate(group))

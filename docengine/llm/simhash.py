@@ -34,7 +34,10 @@ BLOCK_ROWS = 65_536
 HELD, SENT = 1 << 20, 1 << 19
 #: Pairs of texts that are compared at a time, at least; beyond, a quarter of the rows.
 COMPARED = 1 << 16
+#: Bits of a set's sketch, a power of two.
+SKETCH = 1024
 
+SKETCHES = [f"o{k}" for k in range(SKETCH // 64)]
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -108,6 +111,22 @@ def votes(hashes, prints: int) -> list[int]:
     return out
 
 
+def sketch(hashes):
+    """The odd sketch of distinct ``hashes``: a bit is 1 if an odd number of them end in its place. What two sets share cancels out, so their sketches differ in no more bits than the sets in elements."""
+    import numpy as np
+
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def may_be_similar(sizes, others, differ, least: float):
+    """Whether sets of ``sizes`` and ``others`` elements that differ in at least ``differ`` of them can have Jaccard similarity ``least``: none that has it is ruled out."""
+    import numpy as np
+
+    differ = np.maximum(differ, np.abs(sizes - others))
+    return (1 + least) * differ <= (1 - least) * (sizes + others) + 1e-6
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE, prints: int = 1) -> DataFrame:
     """(doc_id, p0, p1, ...) of ``docs`` (doc_id, text): its prints as signed 64-bit integers."""
 
@@ -178,14 +197,15 @@ def matches(piece, group, flips, equal: bool):
             at = upto
 
 
-def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows: int = BLOCK_ROWS, name: str = "links") -> DataFrame:
+def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows: int = BLOCK_ROWS, name: str = "links", least: float = 0.0) -> DataFrame:
     """(a, b): links that join the same components as all pairs of ``classes`` (id, p0, p1, ...) that meet in a bucket and are within the radius.
 
     Each task sends a forest of the links that it finds, at most one link less than it has texts with links. If ``classes`` have a ``label`` (long),
-    the links are instead all such pairs whose labels differ, each once, in the first segment where it meets.
+    and the ``n`` and ``o0``, ``o1``, ... of their shingle sets (elements and sketch), the links are instead all such pairs whose labels differ, each once, in the first segment where it meets,
+    without those whose sketches prove a Jaccard similarity below ``least``.
     """
     prints = [f"p{k}" for k in range(how.prints)]
-    labelled = ["label"] if "label" in classes.columns else []
+    labelled = ["label", "n", *SKETCHES] if "label" in classes.columns else []
     rows = _buckets(classes.select("id", *labelled, *prints), how)
     hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
     hot = scratch.table(hot.select(F.col("bucket").alias("h"), F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), f"{name}-hot")
@@ -213,7 +233,9 @@ def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows:
         def solve(cols):
             nonlocal held, size
             bucket, i, j, own, piece, ids = (c.astype(np.int64, copy=False) for c in cols[:6])
-            label = cols[6].astype(np.int64, copy=False) if labelled else None
+            if labelled:
+                label, n = (c.astype(np.int64, copy=False) for c in cols[6:8])
+                odd = np.stack([c.view(np.uint64) for c in cols[8 : 6 + len(labelled)]], axis=1)
             p = np.stack([c.view(np.uint64) for c in cols[6 + len(labelled) :]], axis=1)
             group = np.cumsum(np.concatenate([[False], (np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
             table = bucket >> 48
@@ -229,6 +251,8 @@ def links(classes: DataFrame, scratch: Scratch, how: Layout = EXACT, block_rows:
                         for word, first, bits, pieces in segments[: segment[t]]:
                             differ = (p[x[near], word] ^ p[y[near], word]) >> np.uint64(first) & np.uint64((1 << bits) - 1)
                             near = near[np.bitwise_count(differ) > bool(pieces)]
+                        differ = np.bitwise_count(odd[x[near]] ^ odd[y[near]]).sum(axis=1, dtype=np.int64)
+                        near = near[may_be_similar(n[x[near]], n[y[near]], differ, least)]
                         x, y = ids[x[near]], ids[y[near]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
                     elif len(near):
@@ -314,7 +338,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, size: int, least: float, rec
     how = layout(docs.count(), least, recall)
     names = [f"p{k}" for k in range(how.prints)]
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in names) + ", digest binary")
+    @F.pandas_udf(", ".join(f"{n} long" for n in [*names, "n", *SKETCHES]) + ", digest binary")
     def of(texts):
         import hashlib
 
@@ -325,13 +349,13 @@ def near_classes(docs: DataFrame, scratch: Scratch, size: int, least: float, rec
         rows, digests = [], []
         for t in texts:
             hashes = np.unique(shingles(t, size))  # votes of the set, so that repeats of a shingle don't part near copies
-            rows.append(votes(hashes, how.prints))
+            rows.append([*votes(hashes, how.prints), len(hashes), *sketch(hashes).tolist()])
             digests.append(hashlib.sha256(hashes.tobytes()).digest()[:16])
-        out = pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, how.prints).view(np.int64), columns=names)
+        out = pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, how.prints + 1 + len(SKETCHES)).view(np.int64), columns=[*names, "n", *SKETCHES])
         return out.assign(digest=digests)
 
     table = scratch.table(docs.select("id", "first", of(F.col("text")).alias("p")).select("id", "first", "p.*"), "prints")
-    prints = F.struct(*names)
+    prints = F.struct(*names, "n", *SKETCHES)
     classes = table.groupBy("digest").agg(F.min("first").alias("first"), F.min("id").alias("least"), F.min(prints).alias("p"))
     classes = scratch.table(classes.select("digest", "first", F.col("least").alias("id"), "p.*"), "classes")
     found = links(classes.select("id", *names), scratch, how)
@@ -340,9 +364,10 @@ def near_classes(docs: DataFrame, scratch: Scratch, size: int, least: float, rec
     release(docs.sparkSession)
     sure = scratch.table(alike(found, texts, size, least), "sure")
     labels = components(sure, scratch)
-    # A forest of candidates may hold pairs that aren't similar in place of one that is: all other candidates between groups are compared, too.
+    # A forest of candidates may hold pairs that aren't similar in place of one that is: all other candidates between groups are judged, too,
+    # by their sketches where these prove them unlike, else by their texts.
     live = classes.join(checked_broadcast(ends, 16), "id", "left_semi").join(labels, F.xxhash64("id") == F.col("node"), "left")
-    between = links(live.select("id", F.coalesce("label", F.xxhash64("id")).alias("label"), *names), scratch, how, name="between")
+    between = links(live.select("id", F.coalesce("label", F.xxhash64("id")).alias("label"), "n", *SKETCHES, *names), scratch, how, name="between", least=least)
     release(docs.sparkSession)
     between = scratch.table(between.join(found, ["a", "b"], "left_anti"), "uncompared")
     parts = ceil(between.count() / max(COMPARED, classes.count() // 4))
@@ -362,7 +387,7 @@ def near_copies(docs: DataFrame, size: int = SIMILAR["size"], least: float = SIM
     """For each of ``docs`` (doc_id, text), whose ids are distinct: doc_id, component_id (the smallest doc_id that links of near copies reach).
 
     Near copies have word shingles of Jaccard similarity ``least`` or more. SimHash tables find the candidates, ``recall`` of the
-    pairs of just this similarity; the exact similarity decides about each candidate, until all between different groups are compared. Null and empty texts, and texts without words, are
+    pairs of just this similarity; the exact similarity decides about each candidate, until all between different groups are compared or ruled out by their sketches, which rule out no similar pair. Null and empty texts, and texts without words, are
     copies of each other. Texts of equal shingle sets are one class. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")

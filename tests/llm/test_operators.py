@@ -765,3 +765,41 @@ def test_uncompared_candidates_in_parts(spark, monkeypatch):
     for compared in (simhash.COMPARED, 400):
         monkeypatch.setattr(simhash, "COMPARED", compared)
         assert dict(simhash.near_copies(rows).collect()) == dict(enumerate(group))
+
+
+def test_sketches_rule_out_no_similar_pair():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 9, 100, 5000):
+        for other in (0, 1, n // 10, n // 9, n):
+            x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = np.unique(np.concatenate([x[: n - other], r.integers(0, 1 << 63, other, dtype=np.uint64)]))
+            x = np.unique(x)
+            differ = int(np.bitwise_count(simhash.sketch(x) ^ simhash.sketch(y)).sum())
+            assert differ <= len(np.setxor1d(x, y))
+            for least in (0.5, 0.8, 0.9):
+                similar = len(np.intersect1d(x, y)) >= least * len(np.union1d(x, y)) - 1e-9
+                assert simhash.may_be_similar(len(x), len(y), differ, least) or not similar
+    assert simhash.may_be_similar(100, 80, 0, 0.8) and not simhash.may_be_similar(100, 79, 0, 0.8)
+    assert simhash.may_be_similar(90, 90, 20, 0.8) and not simhash.may_be_similar(90, 90, 21, 0.8)
+
+
+def test_unlike_candidates_between_groups_are_no_pairs(spark):
+    """Mutations of one text, most of them just below the threshold: sketches leave few pairs besides the similar ones, and all of these."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        w, at = list(base), r.randrange(140)
+        w[at : at + 8] = [f"x{r.randrange(10**6)}" for _ in range(8)]
+        texts.append(" ".join(w))
+    how = simhash.layout(len(texts))
+    sets = [np.unique(simhash.shingles(t, 5)) for t in texts]
+    values = [np.array([*simhash.votes(s, how.prints), len(s), *simhash.sketch(s)], dtype=np.uint64).view(np.int64).tolist() for s in sets]
+    names = [*[f"p{k}" for k in range(how.prints)], "n", *simhash.SKETCHES]
+    frame = spark.createDataFrame([(i, i, *v) for i, v in enumerate(values)], ", ".join(f"{n} long" for n in ["id", "label", *names]))
+    scratch = Scratch(spark, "t")
+    every = set(map(tuple, simhash.links(frame, scratch, how, name="every").collect()))
+    left = set(map(tuple, simhash.links(frame, scratch, how, name="left", least=0.8).collect()))
+    similar = {(a, b) for a, b in every if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+    assert similar <= left < every and len(similar) > 100
+    assert len(every) > 5 * len(similar) and len(left) < 1.2 * len(similar)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docengine.llm import ann, langid, merkle, mixing, packing, pii, simhash, substring, token_store, warc
+from docengine.llm import ann, langid, merkle, mixing, packing, pii, simhash, substring, token_store, tokens, warc
 from docengine.llm._common import Scratch
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -803,3 +803,20 @@ def test_unlike_candidates_between_groups_are_no_pairs(spark):
     similar = {(a, b) for a, b in every if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
     assert similar <= left < every and len(similar) > 100
     assert len(every) > 5 * len(similar) and len(left) < 1.2 * len(similar)
+
+
+@pytest.mark.parametrize("name, byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_with_marks_or_a_line_break_are_cut_there(name, byte_level):
+    """Their parts are encoded, as words and runs of marks; all ids are the library's."""
+    import pyarrow as pa
+
+    plain = [a + m + b for a in ("word", "Éa", "s") for m in ("$$$", "***.", ".\nNext", "\ns,", "'", "'\nre!", "<\nß") for b in ("", "%%") if m[-1].isalpha() or not b]
+    odd = ["it's", "a,b", "a.\n\nb", "a\n", "\na", "a.\r\nb", "w" + "$" * 9, "w" + "." * 8 + "\nv" + "." * 9, "İ.\nx", "x\u0338", "x<\u0338", "x\n\u0301y", "5.\nx", "<|endoftext|>"]
+    work = tokens.Encoder(public_tokenizers.path(name), byte_level)
+    whole, pieces = [], work._pieces
+    work._pieces = lambda p: whole.extend(p) or pieces(p)
+    texts = [*plain, *odd, " ".join(plain), " ".join(odd), "x " + " ".join(plain)]
+    ids = brute.ids_of(name)
+    got = [np.frombuffer(x, "<u2").tolist() for x in work.encode(pa.array(texts))]
+    assert got == [ids(t) for t in texts]
+    assert not {p.strip(" ") for p in whole} & set(plain)

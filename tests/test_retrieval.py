@@ -33,7 +33,7 @@ def odd(tmp_path, spark):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "rerank_lexical"])
+@pytest.mark.parametrize("name", ["lexical_tokens", "bm25_topk", "rerank_lexical"])
 def test_odd_texts_have_the_tokens_of_sql(spark, odd, name):
     assert oracle.compare(spark, oracle.connection(odd), catalog.QUERIES[name], catalog.ORACLES[name], odd) is None
 
